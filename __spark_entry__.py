@@ -31,10 +31,10 @@ PORTFOLIO_BATCH = [("grad", 0.09, 0.04), ("quant", 0.07, None)]
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six places, without negative zeros."""
-    return df.select(
+    """Doubles to six places, halves upwards; the SQL does the same arithmetic."""
+    return df.selectExpr(
         *[
-            (F.round(F.col(f"`{name}`"), 6) + 0.0).alias(name) if kind == "double" else F.col(f"`{name}`")
+            f"floor(`{name}` * 1e6D + 0.5D) / 1e6D AS `{name}`" if kind == "double" else f"`{name}`"
             for name, kind in df.dtypes
         ]
     )

@@ -16,7 +16,8 @@ def header(name: str) -> str:
 
 
 def as_number(value: Column, decimals: int = 2) -> Column:
-    return F.format_number(F.round(value, decimals), decimals)
+    """Fixed decimals with thousands separators; a tiny negative keeps its sign."""
+    return F.format_number(value, decimals)
 
 
 def as_percent(value: Column, decimals: int = 2) -> Column:

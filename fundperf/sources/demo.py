@@ -7,212 +7,176 @@ any order and two engines agree to the last bit.
 
 from __future__ import annotations
 
-from datetime import date
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from fundperf.constants import (
-    BENCHMARK_PROXY_TICKER,
-    CORPORATE_ACTION_SELL,
-    MONEY_MARKET_TICKER,
-    OPTION_CLASS,
-    REPORT_FUNDS,
-)
+from pyspark.sql import DataFrame, SparkSession
+
 from fundperf.sources.readers import Tables
 from fundperf.sources.schemas import SCHEMAS
 
 # Later bookings count on this day, which gives every fund a full last snapshot.
-LAST_DAY = date(2001, 7, 13)
-HOLIDAYS = ("01-01", "07-04", "12-25")
-KEYS_PER_TICKER = 10
-PRICE_STEPS = 12
-
-
-def _booking_day(ts: str) -> Column:
-    return F.least(F.to_date(ts), F.lit(LAST_DAY))
-
+LAST_DAY = "DATE'2001-07-13'"
 
-def _fund(key: str) -> Column:
-    part = F.col(key) % len(REPORT_FUNDS)
-    name = F.when(part == 0, REPORT_FUNDS[0])
-    for i, fund in enumerate(REPORT_FUNDS[1:-1], start=1):
-        name = name.when(part == i, fund)
-    return name.otherwise(REPORT_FUNDS[-1])
+# Columns used of the source tables, declared so that reading needs no inference job.
+SOURCES = {
+    "lineitem": (
+        "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+        "l_extendedprice DOUBLE, l_discount DOUBLE, l_returnflag STRING, l_shipdate TIMESTAMP_NTZ"
+    ),
+    "orders": (
+        "o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, "
+        "o_orderpriority STRING"
+    ),
+    "part": "p_partkey BIGINT, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "customer": "c_custkey BIGINT, c_nationkey INT",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE",
+}
 
 
-def _bucket(key: str) -> Column:
-    return F.floor(F.col(key) / KEYS_PER_TICKER)
+def _day(ts: str) -> str:
+    return f"least(CAST({ts} AS DATE), {LAST_DAY})"
 
 
-def _ticker(key: str) -> Column:
-    bucket = _bucket(key)
+def _fund(key: str) -> str:
     return (
-        F.when(bucket == 0, BENCHMARK_PROXY_TICKER)
-        .when(bucket == 1, MONEY_MARKET_TICKER)
-        .otherwise(F.concat(F.lit("T"), bucket.cast("string")))
+        f"CASE {key} % 4 WHEN 0 THEN 'grad' WHEN 1 THEN 'undergrad' "
+        "WHEN 2 THEN 'brigham_capital' ELSE 'quant' END"
     )
 
 
-def _cents(amount: str) -> Column:
-    return F.round(F.col(amount) * 100).cast("long")
+def _bucket(key: str) -> str:
+    return f"({key} DIV 10)"
+
 
+def _ticker(key: str) -> str:
+    bucket = _bucket(key)
+    return f"CASE {bucket} WHEN 0 THEN 'IWV' WHEN 1 THEN 'VMFXX' ELSE concat('T', {bucket}) END"
 
-def _price(key: str, amount: str) -> Column:
-    return 100 + (_bucket(key) % PRICE_STEPS) * 5 + (_cents(amount) % 200) / 64
 
+def _cents(amount: str) -> str:
+    return f"CAST(rint({amount} * 100) AS BIGINT)"
 
-def _hundredths(fraction: str) -> Column:
-    return F.round(F.col(fraction) * 100)
+
+def _price(key: str, amount: str) -> str:
+    return f"100 + ({_bucket(key)} % 12) * 5 + ({_cents(amount)} % 200) / 64"
 
 
 class _Source:
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self._spark, self._dir = spark, sf_dir.rstrip("/")
+        def read(name: str) -> DataFrame:
+            return spark.read.schema(SOURCES[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
-    def read(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
+        self._raw = Tables(SOURCES, read)
 
-    def _order_totals(self, *keys: Column) -> DataFrame:
-        return self.read("orders").groupBy(*keys).agg(F.sum(_cents("o_totalprice")).alias("s"))
+    def _order_cents(self, *keys: str) -> DataFrame:
+        cents = self._raw["orders"].selectExpr(*keys, f"{_cents('o_totalprice')} AS cents")
+        names = [name for name in cents.columns if name != "cents"]
+        return cents.groupBy(*names).agg({"cents": "sum"}).withColumnRenamed("sum(cents)", "s")
 
     def _fund_day(self) -> DataFrame:
-        return self._order_totals(
-            _booking_day("o_orderdate").alias("caldt"), _fund("o_custkey").alias("fund")
-        )
+        return self._order_cents(f"{_day('o_orderdate')} AS caldt", f"{_fund('o_custkey')} AS fund")
 
-    def _day(self) -> DataFrame:
-        return self._order_totals(_booking_day("o_orderdate").alias("caldt"))
+    def _daily(self) -> DataFrame:
+        return self._order_cents(f"{_day('o_orderdate')} AS caldt")
 
     def positions(self) -> DataFrame:
         bucket = _bucket("l_partkey")
-        return self.read("lineitem").select(
-            _booking_day("l_shipdate").alias("caldt"),
-            _fund("l_suppkey").alias("fund"),
-            _ticker("l_partkey").alias("ticker"),
-            F.when(
-                (F.col("l_returnflag") == "A") & (F.col("l_linenumber") == 7), OPTION_CLASS
-            )
-            .when(bucket == 1, "CASH")
-            .otherwise("EQ")
-            .alias("asset_class"),
-            (F.when(bucket % PRICE_STEPS == 3, -1.0).otherwise(1.0) * (100 + F.col("l_quantity") / 8)).alias(
-                "shares"
-            ),
-            _price("l_partkey", "l_extendedprice").alias("price"),
-            F.when(bucket % PRICE_STEPS == 7, (80 + _hundredths("l_discount")) / 64)
-            .otherwise(1.0)
-            .alias("fx_rate"),
+        return self._raw["lineitem"].selectExpr(
+            f"{_day('l_shipdate')} AS caldt",
+            f"{_fund('l_suppkey')} AS fund",
+            f"{_ticker('l_partkey')} AS ticker",
+            f"CASE WHEN l_returnflag = 'A' AND l_linenumber = 7 THEN 'OPT' "
+            f"WHEN {bucket} = 1 THEN 'CASH' ELSE 'EQ' END AS asset_class",
+            f"(CASE WHEN {bucket} % 12 = 3 THEN -1 ELSE 1 END) * (100 + l_quantity / 8) AS shares",
+            f"{_price('l_partkey', 'l_extendedprice')} AS price",
+            f"CASE WHEN {bucket} % 12 = 7 THEN (80 + rint(l_discount * 100)) / 64 ELSE 1D END AS fx_rate",
         )
 
     def trades(self) -> DataFrame:
-        buy = F.col("o_orderstatus") == "O"
-        return self.read("orders").select(
-            _booking_day("o_orderdate").alias("caldt"),
-            _fund("o_custkey").alias("fund"),
-            _ticker("o_custkey").alias("ticker"),
-            F.when(buy & (F.col("o_orderpriority") == "1-URGENT"), OPTION_CLASS)
-            .when(_bucket("o_custkey") == 1, "CASH")
-            .otherwise("EQ")
-            .alias("asset_class"),
-            F.when(buy, "BUY")
-            .when(F.col("o_orderstatus") == "F", "SELL")
-            .otherwise(CORPORATE_ACTION_SELL)
-            .alias("buy_sell"),
-            (F.when(buy, 1.0).otherwise(-1.0) * (96 + F.floor(F.col("o_totalprice") / 20000))).alias(
-                "shares_traded"
-            ),
-            _price("o_custkey", "o_totalprice").alias("price_traded"),
+        return self._raw["orders"].selectExpr(
+            f"{_day('o_orderdate')} AS caldt",
+            f"{_fund('o_custkey')} AS fund",
+            f"{_ticker('o_custkey')} AS ticker",
+            f"CASE WHEN o_orderstatus = 'O' AND o_orderpriority = '1-URGENT' THEN 'OPT' "
+            f"WHEN {_bucket('o_custkey')} = 1 THEN 'CASH' ELSE 'EQ' END AS asset_class",
+            "CASE o_orderstatus WHEN 'O' THEN 'BUY' WHEN 'F' THEN 'SELL' ELSE 'SELL (CA.)' END AS buy_sell",
+            "CAST((CASE WHEN o_orderstatus = 'O' THEN 1 ELSE -1 END) * (96 + floor(o_totalprice / 20000)) "
+            "AS DOUBLE) AS shares_traded",
+            f"{_price('o_custkey', 'o_totalprice')} AS price_traded",
         )
 
     def dividends(self) -> DataFrame:
-        day = _booking_day("l_shipdate")
-        points = 10 + _hundredths("l_discount")
-        return (
-            self.read("lineitem")
-            .filter(F.col("l_returnflag") == "R")
-            .select(
-                day.alias("caldt"),
-                _fund("l_suppkey").alias("fund"),
-                _ticker("l_partkey").alias("ticker"),
-                ((F.year(day) * 4 + F.quarter(day)) * 2 + F.col("l_linenumber") % 2)
-                .cast("long")
-                .alias("action_id"),
-                (points / 64).alias("gross_rate"),
-                (points / 4).alias("gross_amount"),
-            )
+        day = _day("l_shipdate")
+        return self._raw["lineitem"].where("l_returnflag = 'R'").selectExpr(
+            f"{day} AS caldt",
+            f"{_fund('l_suppkey')} AS fund",
+            f"{_ticker('l_partkey')} AS ticker",
+            f"CAST((year({day}) * 4 + quarter({day})) * 2 + l_linenumber % 2 AS BIGINT) AS action_id",
+            "(10 + rint(l_discount * 100)) / 64 AS gross_rate",
+            "(10 + rint(l_discount * 100)) / 4 AS gross_amount",
         )
 
     def delta_nav(self) -> DataFrame:
-        s = F.col("s")
-        start = F.when(s % 97 == 0, 0).otherwise(1_000_000 + s % 100_000)
-        flow = F.when(s % 11 == 0, 5_000).otherwise(0)
-        end = F.when(s % 89 == 0, start).otherwise(start + s % 20_001 - 9_900) + flow
-        return self._fund_day().select(
+        start = "(CASE WHEN s % 97 = 0 THEN 0 ELSE 1000000 + s % 100000 END)"
+        flow = "(CASE WHEN s % 11 = 0 THEN 5000 ELSE 0 END)"
+        return self._fund_day().selectExpr(
             "caldt",
             "fund",
-            start.cast("double").alias("starting_value"),
-            end.cast("double").alias("ending_value"),
-            flow.cast("double").alias("deposits_withdrawals"),
+            f"CAST({start} AS DOUBLE) AS starting_value",
+            f"CAST((CASE WHEN s % 89 = 0 THEN {start} ELSE {start} + s % 20001 - 9900 END) + {flow} AS DOUBLE) "
+            "AS ending_value",
+            f"CAST({flow} AS DOUBLE) AS deposits_withdrawals",
         )
 
     def nav(self) -> DataFrame:
-        s = F.col("s")
-        return self._fund_day().select(
+        return self._fund_day().selectExpr(
             "caldt",
             "fund",
-            F.when(s % 53 == 0, 0).otherwise(900_000 + s % 50_000).cast("double").alias("stock"),
+            "CAST(CASE WHEN s % 53 = 0 THEN 0 ELSE 900000 + s % 50000 END AS DOUBLE) AS stock",
         )
 
     def benchmark(self) -> DataFrame:
-        return (
-            self._day()
-            .filter(~F.date_format("caldt", "MM-dd").isin(*HOLIDAYS))
-            .select("caldt", (200 + (F.col("s") % 500) / 64).alias("ending_value"))
-        )
+        """A level for every day but the public holidays."""
+        levels = self._daily().selectExpr("caldt", "200 + (s % 500) / 64 AS ending_value")
+        return levels.where("date_format(caldt, 'MM-dd') NOT IN ('01-01', '07-04', '12-25')")
 
     def risk_free_rate(self) -> DataFrame:
-        return (
-            self._day()
-            .filter(F.col("caldt") != F.last_day("caldt"))
-            .select("caldt", ((100 + F.col("s") % 100) / 1_000_000).alias("return"))
-        )
+        """A rate for every day but the last of a month."""
+        rates = self._daily().selectExpr("caldt", "(100 + s % 100) / 1000000 AS return")
+        return rates.where("caldt <> last_day(caldt)")
 
     def calendar(self) -> DataFrame:
-        day = _booking_day("o_orderdate")
-        return self.read("orders").select(day.alias("caldt")).filter(F.weekday("caldt") < 5).distinct()
+        days = self._raw["orders"].selectExpr(f"{_day('o_orderdate')} AS caldt").distinct()
+        return days.where("weekday(caldt) < 5")
 
     def holding(self) -> DataFrame:
-        return (
-            self.read("part")
-            .filter(F.col("p_type") != "SMALL")
-            .groupBy(_fund("p_partkey").alias("fund"), _ticker("p_partkey").alias("ticker"))
-            .agg(
-                F.max(F.date_add(F.lit(LAST_DAY), F.col("p_size"))).alias("horizon_date"),
-                F.max("p_retailprice").alias("target_price"),
-            )
+        """Targets of the tickers with other than small parts only."""
+        targets = self._raw["part"].where("p_type <> 'SMALL'").selectExpr(
+            f"{_fund('p_partkey')} AS fund",
+            f"{_ticker('p_partkey')} AS ticker",
+            f"date_add({LAST_DAY}, p_size) AS horizon_date",
+            "p_retailprice AS target_price",
+        )
+        best = targets.groupBy("fund", "ticker").agg({"horizon_date": "max", "target_price": "max"})
+        return best.selectExpr(
+            "fund", "ticker", "`max(horizon_date)` AS horizon_date", "`max(target_price)` AS target_price"
         )
 
     def portfolio(self) -> DataFrame:
-        """Settings of all funds but the last, which has none yet."""
-        return (
-            self.read("customer")
-            .withColumn("fund", _fund("c_custkey"))
-            .filter(F.col("fund") != REPORT_FUNDS[-1])
-            .groupBy("fund")
-            .agg(
-                ((5 + F.sum("c_nationkey") % 10) / 100).alias("benchmark_return"),
-                ((2 + F.count(F.lit(1)) % 10) / 100).alias("target_tracking_error"),
-            )
+        """Settings of all funds but one, which has none yet."""
+        owners = self._raw["customer"].selectExpr(f"{_fund('c_custkey')} AS fund", "c_nationkey")
+        sums = owners.where("fund <> 'quant'").groupBy("fund").agg({"c_nationkey": "sum", "*": "count"})
+        return sums.selectExpr(
+            "fund",
+            "(5 + `sum(c_nationkey)` % 10) / 100 AS benchmark_return",
+            "(2 + `count(1)` % 10) / 100 AS target_tracking_error",
         )
 
     def logs(self) -> DataFrame:
-        return self.read("events").select(
-            F.to_date("ts").alias("caldt"),
-            _fund("user_id").alias("fund"),
+        return self._raw["events"].selectExpr(
+            "CAST(ts AS DATE) AS caldt",
+            f"{_fund('user_id')} AS fund",
             "event_id",
-            F.col("event_type").alias("status"),
-            F.col("value").alias("elapsed"),
+            "event_type AS status",
+            "value AS elapsed",
         )
 
 

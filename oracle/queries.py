@@ -28,12 +28,17 @@ def statement(body: str) -> str:
     return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body
 
 
+def six(value: str) -> str:
+    """A double to six places, halves upwards, as plain arithmetic."""
+    return f"FLOOR(({value}) * 1e6 + 0.5) / 1e6"
+
+
 def rounded(source: str, plain: str, doubles: str) -> str:
     """Select plain columns and doubles rounded to six places; ``a=b`` renames a to b."""
     pairs = [item.partition("=") for item in plain.split()]
     columns = [f'{a} AS "{b or a}"' for a, _, b in pairs]
     pairs = [item.partition("=") for item in doubles.split()]
-    columns += [f'ROUND({a}, 6) + 0.0::DOUBLE AS "{b or a}"' for a, _, b in pairs]
+    columns += [f'{six(a)} AS "{b or a}"' for a, _, b in pairs]
     return f"SELECT {', '.join(columns)} FROM {source}"
 
 
@@ -81,12 +86,12 @@ _BODIES: dict[str, str] = {
         WHERE asset_class NOT IN ('OPT', 'CASH') AND {IN_WINDOW}""",
     "current_tickers": "SELECT fund, ticker FROM held_now",
     "dividend_history": f"""
-        SELECT fund, MIN(caldt) AS caldt, ticker, action_id, ROUND(AVG(gross_rate), 6) AS gross_rate,
-               ROUND(AVG(gross_amount), 6) AS gross_amount
+        SELECT fund, MIN(caldt) AS caldt, ticker, action_id, {six("AVG(gross_rate)")} AS gross_rate,
+               {six("AVG(gross_amount)")} AS gross_amount
         FROM dividends WHERE {IN_WINDOW} GROUP BY fund, ticker, action_id""",
     "trade_history": f"""
-        SELECT caldt, fund, ticker, SUM(shares_traded) AS shares, ROUND(AVG(price_traded), 6) AS price,
-               ROUND(SUM(shares_traded) * AVG(price_traded), 6) AS value, buy_sell AS side
+        SELECT caldt, fund, ticker, SUM(shares_traded) AS shares, {six("AVG(price_traded)")} AS price,
+               {six("SUM(shares_traded) * AVG(price_traded)")} AS value, buy_sell AS side
         FROM trades WHERE {IN_WINDOW} GROUP BY caldt, fund, ticker, buy_sell""",
     "recent_logs": rounded(
         "(SELECT *, dense_rank() OVER (ORDER BY caldt DESC) AS day_rank FROM logs) WHERE day_rank <= 5",
@@ -201,11 +206,11 @@ _BODIES: dict[str, str] = {
         "ret=return xs=xs_return b_ret=return_bmk b_div=div_return b_ret-b_rf=xs_return_bmk "
         "b_div-b_rf=xs_div_return",
     ),
-    "op_volatility": f"SELECT fund, ROUND({annual_std('ret')}, 6) AS volatility FROM fund_series GROUP BY fund",
+    "op_volatility": f"SELECT fund, {six(annual_std('ret'))} AS volatility FROM fund_series GROUP BY fund",
     "op_tracking_error": f"""
-        SELECT fund, ROUND({annual_std("xs - xs_div")}, 6) AS tracking_error FROM fund_joined GROUP BY fund""",
-    "op_expected_return": """
-        SELECT fund, ROUND(AVG(xs) * 252, 6) + 0.0::DOUBLE AS expected_return FROM fund_series GROUP BY fund""",
+        SELECT fund, {six(annual_std("xs - xs_div"))} AS tracking_error FROM fund_joined GROUP BY fund""",
+    "op_expected_return": f"""
+        SELECT fund, {six("AVG(xs) * 252")} AS expected_return FROM fund_series GROUP BY fund""",
     "op_ols_beta_alpha": rounded(
         f"""(SELECT fund, {finite("regr_slope(xs, xs_bmk)")} AS beta,
                     {finite("regr_intercept(xs, xs_bmk)")} AS alpha FROM fund_joined GROUP BY fund)""",
