@@ -16,7 +16,6 @@ from fundperf.functions import stats  # noqa: E402
 from fundperf.functions.bounds import in_window  # noqa: E402
 from fundperf.operators.dividends import dividends_by_action  # noqa: E402
 from fundperf.plans.performance import with_benchmark  # noqa: E402
-from fundperf.plans.returns import benchmark_frame  # noqa: E402
 from fundperf.plans.series import cumulative_return  # noqa: E402
 from fundperf.sources import Tables, demo_tables  # noqa: E402
 from oracle.queries import ORACLES  # noqa: E402
@@ -55,7 +54,7 @@ def _fund_series(t: Tables) -> DataFrame:
 
 
 def _fund_and_benchmark(t: Tables) -> DataFrame:
-    return with_benchmark(_fund_series(t), benchmark_frame(t, START, END))
+    return with_benchmark(_fund_series(t), plans.benchmark_daily_returns(t, START, END))
 
 
 def _risk_free_fill(t: Tables) -> DataFrame:

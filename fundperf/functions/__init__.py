@@ -3,6 +3,7 @@ from fundperf.functions.stats import (
     annualised_mean,
     annualised_volatility,
     compound_return,
+    last_value,
     ols_alpha,
     ols_beta,
     period_alpha,
@@ -21,6 +22,7 @@ __all__ = [
     "day_span",
     "header",
     "in_window",
+    "last_value",
     "ols_alpha",
     "ols_beta",
     "period_alpha",

@@ -13,15 +13,24 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator, denominator)
 
 
-def compound_return(returns: Column, order: Column) -> Column:
-    """Period return of a daily series, NULL when the last day in ``order`` has none.
+def _present_on(day: Column, value: Column) -> Column:
+    """Ascending integer of (day, value present); the last bit tells the presence."""
+    return F.unix_date(day) * 2 + value.isNotNull().cast("int")
+
+
+def compound_return(returns: Column, day: Column) -> Column:
+    """Period return of a daily series, NULL when its last day has no return.
 
     Missing days inside the period are skipped. Log returns would not do: daily returns
     below -1 occur for short positions and closing trades.
     """
-    return F.when(
-        ~F.max_by(returns.isNull(), order), F.product(returns + 1.0) - 1.0
-    )
+    has_last = F.max(_present_on(day, returns)).bitwiseAND(1) == 1
+    return F.when(has_last, F.product(returns + 1.0) - 1.0)
+
+
+def last_value(value: Column, day: Column) -> Column:
+    """Value of the last day, NULL if that day has none."""
+    return F.max_by(value, _present_on(day, value))
 
 
 def running_return(returns: Column, window: WindowSpec) -> Column:

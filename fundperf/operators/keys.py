@@ -15,14 +15,13 @@ def require_unique(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
     """The same rows, with a failing job where a key occurs more than once."""
     keys = list(keys)
     values = [name for name in df.columns if name not in keys]
-    copies = F.count(F.lit(1))
-    failure = F.raise_error(F.lit(f"{what}: more than one row per ({', '.join(keys)})"))
+    failure = f"raise_error('{what}: more than one row per ({', '.join(keys)})')"
+    firsts = [F.expr(f"first(`{name}`) AS `{name}`") for name in values]
     return (
         df.groupBy(*keys)
-        .agg(copies.alias("_copies"), *[F.first(name).alias(name) for name in values])
-        .select(
-            *keys,
-            *[F.when(F.col("_copies") == 1, F.col(name)).otherwise(failure).alias(name) for name in values],
+        .agg(F.expr("count(1) AS _copies"), *firsts)
+        .selectExpr(
+            *keys, *[f"CASE WHEN _copies = 1 THEN `{name}` ELSE {failure} END AS `{name}`" for name in values]
         )
     )
 

@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fundperf.constants import (
     CORPORATE_ACTION_SELL,
     EXCLUDED_ASSET_CLASSES,
-    HOLDING_KEY,
     OPTION_CLASS,
     POSITION_KEY,
 )
-from fundperf.functions.stats import ratio
 
-# Dividend actions may put several rows on one day of a holding; this order settles them.
-HISTORY_ORDER = ("caldt", "action_id")
+# Dividend actions may put several rows on one day of a holding; the action settles their order.
+HISTORY = "(PARTITION BY fund, ticker ORDER BY caldt, action_id)"
 
 
-def _sign(value: Column) -> Column:
-    return F.when(value > 0, 1).otherwise(-1)
+def _sign(value: str) -> str:
+    return f"CASE WHEN {value} > 0 THEN 1 ELSE -1 END"
 
 
 def _eligible_positions(positions: DataFrame) -> DataFrame:
@@ -27,10 +25,9 @@ def _eligible_positions(positions: DataFrame) -> DataFrame:
 
 
 def _eligible_trades(trades: DataFrame) -> DataFrame:
-    allowed = F.col("buy_sell") != CORPORATE_ACTION_SELL
-    for asset_class in EXCLUDED_ASSET_CLASSES:
-        allowed &= F.col("asset_class") != asset_class
-    return trades.filter(allowed)
+    return trades.filter(
+        ~F.col("asset_class").isin(*EXCLUDED_ASSET_CLASSES) & (F.col("buy_sell") != CORPORATE_ACTION_SELL)
+    )
 
 
 def position_snapshot(positions: DataFrame) -> DataFrame:
@@ -39,7 +36,7 @@ def position_snapshot(positions: DataFrame) -> DataFrame:
         _eligible_positions(positions)
         .groupBy(*POSITION_KEY)
         .agg(
-            _sign(F.avg("shares")).alias("side"),
+            F.expr(f"{_sign('avg(shares)')} AS side"),
             F.avg("shares").alias("shares_1"),
             F.avg("price").alias("price_1"),
             F.avg("fx_rate").alias("fx_rate_1"),
@@ -53,11 +50,11 @@ def net_trades(trades: DataFrame) -> DataFrame:
         _eligible_trades(trades)
         .groupBy(*POSITION_KEY)
         .agg(
-            _sign(F.sum("shares_traded")).alias("trade_type"),
+            F.expr(f"{_sign('sum(shares_traded)')} AS trade_type"),
             F.sum("shares_traded").alias("shares_traded"),
             F.avg("price_traded").alias("trade_price"),
         )
-        .filter(F.col("shares_traded") != 0)
+        .filter("shares_traded <> 0")
     )
 
 
@@ -70,15 +67,15 @@ def position_trade_merge(positions: DataFrame, trades: DataFrame, actions: DataF
     """
     stacked = (
         _eligible_positions(positions)
-        .select(*POSITION_KEY, F.lit(True).alias("held"), "shares", "price", "fx_rate")
+        .selectExpr(*POSITION_KEY, "true AS held", "shares", "price", "fx_rate")
         .unionByName(
-            _eligible_trades(trades).select(
-                *POSITION_KEY, F.lit(False).alias("held"), "shares_traded", "price_traded"
+            _eligible_trades(trades).selectExpr(
+                *POSITION_KEY, "false AS held", "shares_traded", "price_traded"
             ),
             allowMissingColumns=True,
         )
     )
-    net, traded = F.col("net"), F.col("net") != 0
+    # A day's trades count only if they do not net to zero.
     merged = (
         stacked.groupBy(*POSITION_KEY)
         .agg(
@@ -89,48 +86,51 @@ def position_trade_merge(positions: DataFrame, trades: DataFrame, actions: DataF
             F.sum("shares_traded").alias("net"),
             F.avg("price_traded").alias("price_traded"),
         )
-        .filter(F.col("held") | traded)
-        .select(
+        .filter("held OR net <> 0")
+        .selectExpr(
             *POSITION_KEY,
-            F.when(F.col("held"), _sign(F.col("shares_1"))).alias("side"),
+            f"CASE WHEN held THEN {_sign('shares_1')} END AS side",
             "shares_1",
             "price_1",
             "fx_rate_1",
-            F.when(traded, _sign(net)).alias("trade_type"),
-            F.when(traded, net).otherwise(0.0).alias("shares_traded"),
-            F.when(traded, F.col("price_traded")).alias("trade_price"),
+            f"CASE WHEN net <> 0 THEN {_sign('net')} END AS trade_type",
+            "CASE WHEN net <> 0 THEN net ELSE 0D END AS shares_traded",
+            "CASE WHEN net <> 0 THEN price_traded END AS trade_price",
         )
     )
-    paid = actions.select(
-        *[F.col(name).alias(f"_{name}") for name in POSITION_KEY],
+    paid = actions.selectExpr(
+        *[f"{name} AS _{name}" for name in POSITION_KEY],
         "action_id",
-        F.col("div_gross_rate").alias("_rate"),
-        F.col("div_gross_amount").alias("_amount"),
+        "div_gross_rate AS _rate",
+        "div_gross_amount AS _amount",
     )
-    same_key = F.col("side").isNotNull()
-    for name in POSITION_KEY:
-        same_key &= F.col(name) == F.col(f"_{name}")
-    return merged.join(paid, same_key, "left").select(
-        *[F.col(name) for name in merged.columns],
+    same_key = " AND ".join(f"{name} = _{name}" for name in POSITION_KEY)
+    return merged.join(paid, F.expr(f"side IS NOT NULL AND {same_key}"), "left").selectExpr(
+        *POSITION_KEY,
+        "side",
+        "shares_1",
+        "price_1",
+        "fx_rate_1",
+        "trade_type",
+        "shares_traded",
+        "trade_price",
         "action_id",
-        F.coalesce("_rate", F.lit(0.0)).alias("div_gross_rate"),
-        F.coalesce("_amount", F.lit(0.0)).alias("dividends"),
+        "coalesce(_rate, 0D) AS div_gross_rate",
+        "coalesce(_amount, 0D) AS dividends",
     )
 
 
 def lag_state(merged: DataFrame) -> DataFrame:
-    """The previous row's side, shares, price and currency rate of each holding, over all history."""
-    history = Window.partitionBy(*HOLDING_KEY).orderBy(*HISTORY_ORDER)
-    return merged.withColumns(
-        {
-            f"previous_{name}": F.lag(source).over(history)
-            for name, source in (
-                ("side", "side"),
-                ("shares", "shares_1"),
-                ("price", "price_1"),
-                ("fx_rate", "fx_rate_1"),
-            )
-        }
+    """The previous row's side, shares, price and currency rate of each holding, over all history.
+
+    A holding has one row per day and dividend action here, however often it is booked.
+    """
+    return merged.selectExpr(
+        "*",
+        f"lag(side) OVER {HISTORY} AS previous_side",
+        f"lag(shares_1) OVER {HISTORY} AS previous_shares",
+        f"lag(price_1) OVER {HISTORY} AS previous_price",
+        f"lag(fx_rate_1) OVER {HISTORY} AS previous_fx_rate",
     )
 
 
@@ -140,17 +140,16 @@ def lagged_position_state(merged: DataFrame) -> DataFrame:
     The side is the previous row's. Shares after the day are net of the day's trades, unless
     that leaves nothing; a row that only a trade produced counts as its shares reversed.
     """
-    net = F.col("shares_1") - F.col("shares_traded")
-    return lag_state(merged).select(
+    return lag_state(merged).selectExpr(
         *POSITION_KEY,
         "action_id",
-        F.coalesce("previous_side", "side").alias("side"),
-        F.coalesce("previous_shares", "shares_traded").alias("shares_0"),
-        F.coalesce(F.when(net == 0, F.col("shares_1")).otherwise(net), -F.col("shares_traded")).alias("shares_1"),
-        F.coalesce("previous_price", "trade_price").alias("price_0"),
-        F.coalesce("price_1", "trade_price").alias("price_1"),
-        F.coalesce("previous_fx_rate", "fx_rate_1").alias("fx_rate_0"),
-        F.coalesce("fx_rate_1", "previous_fx_rate").alias("fx_rate_1"),
+        "coalesce(previous_side, side) AS side",
+        "coalesce(previous_shares, shares_traded) AS shares_0",
+        "coalesce(nullif(shares_1 - shares_traded, 0D), shares_1, -shares_traded) AS shares_1",
+        "coalesce(previous_price, trade_price) AS price_0",
+        "coalesce(price_1, trade_price) AS price_1",
+        "coalesce(previous_fx_rate, fx_rate_1) AS fx_rate_0",
+        "coalesce(fx_rate_1, previous_fx_rate) AS fx_rate_1",
         "trade_type",
         "shares_traded",
         "trade_price",
@@ -160,21 +159,24 @@ def lagged_position_state(merged: DataFrame) -> DataFrame:
 
 
 def position_values(state: DataFrame) -> DataFrame:
-    return state.withColumns(
-        {
-            f"value_{i}": F.col(f"shares_{i}") * F.col(f"price_{i}") * F.col(f"fx_rate_{i}")
-            for i in (0, 1)
-        }
+    return state.selectExpr(
+        "*",
+        "shares_0 * price_0 * fx_rate_0 AS value_0",
+        "shares_1 * price_1 * fx_rate_1 AS value_1",
+    )
+
+
+def _return(after: str) -> str:
+    """Gain of a long holding; a short one gains when its value falls."""
+    return (
+        f"CASE WHEN side = 1 THEN try_divide({after}, value_0) ELSE try_divide(value_0, {after}) END - 1"
     )
 
 
 def position_returns(values: DataFrame, nav: DataFrame) -> DataFrame:
     """Weight in the fund's stock value, price return and dividend-inclusive return."""
-    stock = nav.filter(F.col("stock") != 0).select("caldt", "fund", F.col("stock").alias("total_stock_1"))
-    before, after = F.col("value_0"), F.col("value_1")
-    paid = after + F.col("dividends")
-    is_long = F.col("side") == 1
-    return values.join(stock, ["caldt", "fund"], "left").select(
+    stock = nav.filter("stock <> 0").selectExpr("caldt", "fund", "stock AS total_stock_1")
+    return values.join(stock, ["caldt", "fund"], "left").selectExpr(
         *POSITION_KEY,
         "action_id",
         "side",
@@ -183,9 +185,9 @@ def position_returns(values: DataFrame, nav: DataFrame) -> DataFrame:
         "fx_rate_1",
         "value_1",
         "total_stock_1",
-        ratio(after, F.col("total_stock_1")).alias("weight_1"),
+        "try_divide(value_1, total_stock_1) AS weight_1",
         "div_gross_rate",
         "dividends",
-        (F.when(is_long, ratio(after, before)).otherwise(ratio(before, after)) - 1).alias("return"),
-        (F.when(is_long, ratio(paid, before)).otherwise(ratio(before, paid)) - 1).alias("div_return"),
+        f"{_return('value_1')} AS return",
+        f"{_return('(value_1 + dividends)')} AS div_return",
     )

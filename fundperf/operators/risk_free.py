@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fundperf.operators.keys import daily_lookup
@@ -29,22 +29,22 @@ def risk_free_fill(
     The rows of ``series`` must already be cut to the window. A partition holds at most one row
     per day and dividend action, whatever the size of the tables behind it.
     """
-    daily = daily_lookup(rates, "risk-free rate", start, end).select(
-        F.col("caldt").alias("_rf_day"), F.col("return").alias("_rf")
+    daily = daily_lookup(rates, "risk-free rate", start, end).selectExpr(
+        "caldt AS _rf_day", "return AS _rf"
     )
-    joined = series.join(daily, F.col("caldt") == F.col("_rf_day"), "left")
-    over = Window.partitionBy(*partition) if partition else Window
+    columns = series.columns
+    by = f"PARTITION BY {', '.join(partition)}" if partition else ""
+    order = ", ".join(["caldt", *tie_break])
     if rf_fill == "reference":
-        back = over.orderBy(F.asc_nulls_last("_rf_day"), "caldt", *tie_break)
-        filled = F.coalesce(F.col("_rf"), F.lag("_rf").over(back))
+        filled = f"coalesce(_rf, lag(_rf) OVER ({by} ORDER BY _rf_day ASC NULLS LAST, {order}))"
     elif rf_fill == "previous":
-        back = over.orderBy("caldt", *tie_break).rowsBetween(Window.unboundedPreceding, 0)
-        filled = F.last("_rf", ignorenulls=True).over(back)
+        filled = f"last(_rf, true) OVER ({by} ORDER BY {order} ROWS UNBOUNDED PRECEDING)"
     else:
         raise ValueError(f"unknown rf_fill: {rf_fill!r}")
-    return joined.withColumn("rf_return", filled).drop("_rf_day", "_rf")
+    joined = series.join(daily, F.expr("caldt = _rf_day"), "left")
+    return joined.selectExpr(*[f"`{name}`" for name in columns], f"{filled} AS rf_return")
 
 
 def excess(series: DataFrame, *returns: str) -> DataFrame:
     """``xs_<return>`` over the risk-free rate for each named return."""
-    return series.withColumns({f"xs_{name}": F.col(name) - F.col("rf_return") for name in returns})
+    return series.selectExpr("*", *[f"{name} - rf_return AS xs_{name}" for name in returns])

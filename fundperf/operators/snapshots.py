@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fundperf.functions.bounds import broadcast_within
@@ -39,3 +39,12 @@ def latest_snapshot(df: DataFrame, funds: Sequence[str] | None = None) -> DataFr
 def on_trading_days(df: DataFrame, calendar: DataFrame, days: int | None = None) -> DataFrame:
     """Rows on days of the calendar. ``days`` bounds the calendar when both sides share a window."""
     return df.join(broadcast_within(calendar.select("caldt").distinct(), days), "caldt", "left_semi")
+
+
+def ordered(df: DataFrame, *by: str | Column) -> DataFrame:
+    """Globally sorted rows.
+
+    A range sort samples its input by running it. Rebalancing the finished rows first makes it
+    sample shuffle files instead of computing everything behind them twice.
+    """
+    return df.hint("rebalance").orderBy(*by)

@@ -8,9 +8,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fundperf.constants import HOLDING_KEY, MONEY_MARKET_TICKER
+from fundperf.constants import HOLDING_KEY, MONEY_MARKET_TICKER, POSITION_KEY
 from fundperf.functions.bounds import broadcast_within, day_span, in_window
-from fundperf.functions.stats import ratio
 from fundperf.operators.dividends import dividends_by_action
 from fundperf.operators.positions import (
     lagged_position_state,
@@ -82,15 +81,21 @@ def holding_frame(
         tie_break=["action_id"],
         rf_fill=rf_fill,
     )
-    named = filled.withColumnsRenamed(
-        {
-            "price_1": "price",
-            "shares_1": "shares",
-            "fx_rate_1": "fx_rate",
-            "value_1": "value",
-            "weight_1": "weight",
-        }
-    ).withColumn("dividend_yield", ratio(F.col("div_gross_rate"), F.col("price")))
+    named = filled.selectExpr(
+        *POSITION_KEY,
+        "action_id",
+        "side",
+        "price_1 AS price",
+        "shares_1 AS shares",
+        "fx_rate_1 AS fx_rate",
+        "value_1 AS value",
+        "weight_1 AS weight",
+        "try_divide(div_gross_rate, price_1) AS dividend_yield",
+        "dividends",
+        "return",
+        "div_return",
+        "rf_return",
+    )
     return excess(named, "return", "div_return").select(*HOLDING_SERIES, "action_id")
 
 

@@ -10,18 +10,15 @@ from pyspark.sql import functions as F
 
 from fundperf.constants import EXCLUDED_ASSET_CLASSES, RECENT_LOG_DAYS, REPORT_FUNDS
 from fundperf.functions.bounds import as_date, in_window
-from fundperf.functions.stats import ratio
 from fundperf.operators.dividends import dividends_by_action
 from fundperf.operators.keys import keyed_upsert
-from fundperf.operators.snapshots import for_funds, latest_snapshot
+from fundperf.operators.snapshots import for_funds, latest_snapshot, ordered
 from fundperf.plans.returns import TablesLike
 from fundperf.sources.schemas import KEYS, SCHEMAS
 
 
 def _ordinary(positions: DataFrame) -> DataFrame:
-    for asset_class in EXCLUDED_ASSET_CLASSES:
-        positions = positions.filter(F.col("asset_class") != asset_class)
-    return positions
+    return positions.filter(~F.col("asset_class").isin(*EXCLUDED_ASSET_CLASSES))
 
 
 def traded_tickers(
@@ -29,7 +26,7 @@ def traded_tickers(
 ) -> DataFrame:
     """Distinct tickers held in the window, by fund."""
     held = _ordinary(for_funds(tables["positions"], funds)).filter(in_window(start, end))
-    return held.select("fund", "ticker").distinct().orderBy("fund", "ticker")
+    return ordered(held.select("fund", "ticker").distinct(), "fund", "ticker")
 
 
 def current_ticker_rows(tables: TablesLike, funds: Sequence[str] | None = None) -> DataFrame:
@@ -39,7 +36,7 @@ def current_ticker_rows(tables: TablesLike, funds: Sequence[str] | None = None)
 
 
 def current_tickers(tables: TablesLike, funds: Sequence[str] | None = None) -> DataFrame:
-    return current_ticker_rows(tables, funds).orderBy("fund", "ticker")
+    return ordered(current_ticker_rows(tables, funds), "fund", "ticker")
 
 
 def dividend_history(
@@ -53,18 +50,15 @@ def dividend_history(
     rows = for_funds(
         tables["dividends"], None if fund is None else [fund], None if ticker is None else [ticker]
     ).filter(in_window(start, end))
-    return (
-        dividends_by_action(rows)
-        .select(
-            "fund",
-            "caldt",
-            "ticker",
-            "action_id",
-            F.col("div_gross_rate").alias("gross_rate"),
-            F.col("div_gross_amount").alias("gross_amount"),
-        )
-        .orderBy("caldt")
+    actions = dividends_by_action(rows).selectExpr(
+        "fund",
+        "caldt",
+        "ticker",
+        "action_id",
+        "div_gross_rate AS gross_rate",
+        "div_gross_amount AS gross_amount",
     )
+    return ordered(actions, "caldt")
 
 
 def trade_history(
@@ -78,28 +72,20 @@ def trade_history(
     rows = for_funds(
         tables["trades"], None if fund is None else [fund], None if ticker is None else [ticker]
     ).filter(in_window(start, end))
-    return (
-        rows.groupBy("caldt", "fund", "ticker", F.col("buy_sell").alias("side"))
+    traded = (
+        rows.groupBy("caldt", "fund", "ticker", "buy_sell")
         .agg(F.sum("shares_traded").alias("shares"), F.avg("price_traded").alias("price"))
-        .select(
-            "caldt",
-            "fund",
-            "ticker",
-            "shares",
-            "price",
-            (F.col("shares") * F.col("price")).alias("value"),
-            "side",
+        .selectExpr(
+            "caldt", "fund", "ticker", "shares", "price", "shares * price AS value", "buy_sell AS side"
         )
-        .orderBy("caldt")
     )
+    return ordered(traded, "caldt")
 
 
 def recent_logs(tables: TablesLike, days: int = RECENT_LOG_DAYS) -> DataFrame:
     """All log rows of the latest distinct days."""
     latest = tables["logs"].select("caldt").distinct().orderBy(F.desc("caldt")).limit(days)
-    return (
-        tables["logs"].join(F.broadcast(latest), "caldt", "left_semi").orderBy(F.desc("caldt"))
-    )
+    return ordered(tables["logs"].join(F.broadcast(latest), "caldt", "left_semi"), F.desc("caldt"))
 
 
 def logs_by_fund(
@@ -117,21 +103,19 @@ def current_holdings(tables: TablesLike, funds: Sequence[str] | None = None) ->
 
     Positions without a stock value on that day drop out, those without targets stay.
     """
-    held = latest_snapshot(tables["positions"], funds).withColumn(
-        "value", F.col("price") * F.col("shares")
-    )
+    held = latest_snapshot(tables["positions"], funds)
     return (
         held.join(for_funds(tables["nav"], funds), ["caldt", "fund"])
         .join(for_funds(tables["holding"], funds), ["fund", "ticker"], "left")
-        .select(
+        .selectExpr(
             "fund",
             "ticker",
             "shares",
             "price",
-            "value",
+            "price * shares AS value",
             "horizon_date",
             "target_price",
-            ratio(F.col("value"), F.col("stock")).alias("weight"),
+            "try_divide(price * shares, stock) AS weight",
         )
     )
 

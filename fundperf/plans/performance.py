@@ -13,6 +13,7 @@ from fundperf.functions.stats import (
     annualised_mean,
     annualised_volatility,
     compound_return,
+    last_value,
     ols_alpha,
     ols_beta,
     period_alpha,
@@ -20,11 +21,12 @@ from fundperf.functions.stats import (
 )
 from fundperf.functions.text import titled
 from fundperf.operators.benchmark import benchmark_join
+from fundperf.operators.snapshots import ordered
 from fundperf.plans.holdings import reported_holdings
 from fundperf.plans.lookups import current_ticker_rows
 from fundperf.plans.returns import (
     TablesLike,
-    benchmark_frame,
+    benchmark_daily_returns,
     fund_daily_returns,
     total_daily_returns,
 )
@@ -52,17 +54,16 @@ def _or_zero(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def with_benchmark(series: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A fund series next to the benchmark. ``return_bmk`` stays NULL where there is none."""
-    wanted = ("return", "div_return", "xs_return", "xs_div_return", "action_id")
-    return _or_zero(benchmark_join(series, benchmark, wanted), ZERO_FILLED)
+    return _or_zero(benchmark_join(series, benchmark), ZERO_FILLED)
 
 
 def _fund_aggregates(bmk_return: Column, regressor: Column) -> list[Column]:
-    order = F.struct("caldt", "action_id")
+    day = F.col("caldt")
     xs = F.col("xs_return")
     residual = xs - F.col("xs_div_return")
     return [
-        compound_return(F.col("return"), order).alias("total_return"),
-        compound_return(bmk_return, order).alias("total_return_bmk"),
+        compound_return(F.col("return"), day).alias("total_return"),
+        compound_return(bmk_return, day).alias("total_return_bmk"),
         annualised_volatility(F.col("return")).alias("volatility"),
         F.sum("dividends").alias("dividends"),
         ols_beta(xs, regressor).alias("beta"),
@@ -87,7 +88,7 @@ def _alpha_of_period() -> Column:
 
 def total_performance(tables: TablesLike, start: str | date, end: str | date) -> DataFrame:
     """All funds as one line: dividend-inclusive benchmark, daily least-squares alpha."""
-    series = with_benchmark(total_daily_returns(tables, start, end), benchmark_frame(tables, start, end))
+    series = with_benchmark(total_daily_returns(tables, start, end), benchmark_daily_returns(tables, start, end))
     stats = series.agg(*_fund_aggregates(F.col("div_return"), F.col("xs_div_return")))
     return _with_ratios(stats, F.col("daily_alpha")).select(*TOTAL_MEASURES)
 
@@ -97,7 +98,7 @@ def fund_performance(
 ) -> DataFrame:
     """One line per fund: price benchmark, alpha over the whole period."""
     series = with_benchmark(
-        fund_daily_returns(tables, start, end, funds), benchmark_frame(tables, start, end)
+        fund_daily_returns(tables, start, end, funds), benchmark_daily_returns(tables, start, end)
     )
     stats = series.groupBy("fund").agg(
         *_fund_aggregates(F.col("return_bmk"), F.col("xs_return_bmk"))
@@ -115,7 +116,7 @@ def performance_report(
     """
     total = total_daily_returns(tables, start, end).withColumn("fund", F.lit(TOTAL_LABEL))
     lines = fund_daily_returns(tables, start, end, funds).unionByName(total)
-    series = with_benchmark(lines, benchmark_frame(tables, start, end))
+    series = with_benchmark(lines, benchmark_daily_returns(tables, start, end))
     is_total = F.col("fund") == TOTAL_LABEL
     stats = series.groupBy("fund").agg(
         *_fund_aggregates(
@@ -124,11 +125,8 @@ def performance_report(
         )
     )
     alpha = F.when(is_total, F.col("daily_alpha")).otherwise(_alpha_of_period())
-    return (
-        _with_ratios(stats, alpha)
-        .select(titled(F.col("fund")).alias("fund"), *REPORT_MEASURES)
-        .orderBy("fund")
-    )
+    report = _with_ratios(stats, alpha).select(titled(F.col("fund")).alias("fund"), *REPORT_MEASURES)
+    return ordered(report, "fund")
 
 
 def holdings_performance(
@@ -140,20 +138,16 @@ def holdings_performance(
     """One line per currently held ticker: dividend-inclusive on both sides, alpha over the period."""
     holdings = reported_holdings(tables, start, end, funds)
     held = holdings.join(current_ticker_rows(tables, funds).distinct(), list(HOLDING_KEY), "left_semi")
-    benchmark = benchmark_frame(tables, start, end).withColumnRenamed("action_id", "bmk_action_id")
-    joined = benchmark_join(held, benchmark, ("div_return", "xs_div_return", "bmk_action_id"))
+    benchmark = benchmark_daily_returns(tables, start, end)
+    joined = benchmark_join(held, benchmark, ("div_return", "xs_div_return"))
     series = _or_zero(joined, ("xs_div_return", "xs_div_return_bmk"))
-    order = F.struct("caldt", "action_id", "bmk_action_id")
-    returns, regressor = F.col("div_return"), F.col("xs_div_return_bmk")
+    day, returns, regressor = F.col("caldt"), F.col("div_return"), F.col("xs_div_return_bmk")
     stats = series.groupBy(*HOLDING_KEY).agg(
-        compound_return(returns, order).alias("total_return"),
-        compound_return(F.col("div_return_bmk"), order).alias("total_return_bmk"),
+        compound_return(returns, day).alias("total_return"),
+        compound_return(F.col("div_return_bmk"), day).alias("total_return_bmk"),
         annualised_volatility(returns).alias("volatility"),
         ols_beta(F.col("xs_div_return"), regressor).alias("beta"),
-        F.max_by("weight", order).alias("weight"),
-    )
-    return (
-        stats.withColumn("alpha", _alpha_of_period())
-        .select(*HOLDING_KEY, *HOLDING_MEASURES)
-        .orderBy(*HOLDING_KEY)
+        last_value(F.col("weight"), day).alias("weight"),
     )
+    lines = stats.withColumn("alpha", _alpha_of_period()).select(*HOLDING_KEY, *HOLDING_MEASURES)
+    return ordered(lines, *HOLDING_KEY)

@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fundperf.constants import BENCHMARK_PROXY_FUND, BENCHMARK_PROXY_TICKER
 from fundperf.functions.bounds import broadcast_within, day_span, in_window
-from fundperf.functions.stats import ratio
 from fundperf.operators.dividends import dividends_by_action, dividends_by_day, dividends_per_fund_day
 from fundperf.operators.keys import require_unique
 from fundperf.operators.risk_free import excess, risk_free_fill
@@ -43,12 +42,15 @@ BENCHMARK_SERIES = (
 )
 
 
-def _moving_days(values: DataFrame, start: str | date, end: str | date) -> DataFrame:
-    """Daily return of the window's days that have one and moved; no start value, no return."""
-    return (
-        values.filter(in_window(start, end))
-        .withColumn("return", ratio(F.col("ending_value"), F.col("starting_value")) - 1)
-        .filter(F.col("return") != 0)
+def _moving_days(values: DataFrame) -> DataFrame:
+    """Daily return of the days that have one and moved; without a start value there is none."""
+    return values.selectExpr("*", "try_divide(ending_value, starting_value) - 1 AS return").filter("return <> 0")
+
+
+def _with_dividends(moves: DataFrame, paid: DataFrame, keys: Sequence[str]) -> DataFrame:
+    columns = moves.columns
+    return moves.join(paid, list(keys), "left").selectExpr(
+        *columns, "coalesce(dividends, 0D) AS dividends"
     )
 
 
@@ -65,11 +67,7 @@ def total_daily_returns(
     )
     # One row per day on the right: the day count bounds it.
     paid = broadcast_within(dividends_by_day(tables["dividends"].filter(window)), day_span(start, end))
-    series = (
-        _moving_days(values, start, end)
-        .join(paid, "caldt", "left")
-        .withColumn("dividends", F.coalesce("dividends", F.lit(0.0)))
-    )
+    series = _with_dividends(_moving_days(values), paid, ["caldt"])
     filled = risk_free_fill(series, tables["risk_free_rate"], start, end, rf_fill=rf_fill)
     return excess(filled, "return").select(*TOTAL_SERIES)
 
@@ -82,21 +80,17 @@ def fund_daily_returns(
     rf_fill: str = "reference",
 ) -> DataFrame:
     """Each fund's series, net of deposits and withdrawals; all funds in one pass."""
-    values = for_funds(tables["delta_nav"], funds).select(
-        "caldt",
-        "fund",
-        "starting_value",
-        (F.col("ending_value") - F.col("deposits_withdrawals")).alias("ending_value"),
+    window = in_window(start, end)
+    values = (
+        for_funds(tables["delta_nav"], funds)
+        .filter(window)
+        .selectExpr("caldt", "fund", "starting_value", "ending_value - deposits_withdrawals AS ending_value")
     )
     # The first day of an action may lie before the window, so the cut follows the grouping.
     actions = dividends_by_action(for_funds(tables["dividends"], funds))
-    paid = dividends_per_fund_day(actions.filter(in_window(start, end)))
+    paid = dividends_per_fund_day(actions.filter(window))
     bound = None if funds is None else day_span(start, end) * len(funds)
-    series = (
-        _moving_days(values, start, end)
-        .join(broadcast_within(paid, bound), ["caldt", "fund"], "left")
-        .withColumn("dividends", F.coalesce("dividends", F.lit(0.0)))
-    )
+    series = _with_dividends(_moving_days(values), broadcast_within(paid, bound), ["caldt", "fund"])
     filled = risk_free_fill(
         series, tables["risk_free_rate"], start, end, partition=["fund"], rf_fill=rf_fill
     )
@@ -112,21 +106,18 @@ def benchmark_frame(
     )
     actions = dividends_by_action(
         for_funds(tables["dividends"], [BENCHMARK_PROXY_FUND], [BENCHMARK_PROXY_TICKER])
-    ).select("caldt", "action_id", F.col("div_gross_rate").alias("dividends"))
-    before, after = F.col("starting_value"), F.col("ending_value")
+    ).selectExpr("caldt", "action_id", "div_gross_rate AS dividends")
     # The previous level comes from the whole history, one row per day; the window cut follows.
-    series = (
-        levels.withColumn("starting_value", F.lag("ending_value").over(Window.orderBy("caldt")))
+    moves = (
+        levels.selectExpr("*", "lag(ending_value) OVER (ORDER BY caldt) AS starting_value")
         .filter(in_window(start, end))
-        .filter(ratio(after, before) != 1)
-        .join(actions, "caldt", "left")
-        .withColumns(
-            {
-                "dividend_yield": ratio(F.col("dividends"), after),
-                "return": ratio(after, before) - 1,
-                "div_return": ratio(after + F.coalesce("dividends", F.lit(0.0)), before) - 1,
-            }
-        )
+        .filter("try_divide(ending_value, starting_value) <> 1")
+    )
+    series = moves.join(actions, "caldt", "left").selectExpr(
+        "*",
+        "try_divide(dividends, ending_value) AS dividend_yield",
+        "try_divide(ending_value, starting_value) - 1 AS return",
+        "try_divide(ending_value + coalesce(dividends, 0D), starting_value) - 1 AS div_return",
     )
     filled = risk_free_fill(
         series, tables["risk_free_rate"], start, end, tie_break=["action_id"], rf_fill=rf_fill

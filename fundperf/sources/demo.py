@@ -8,6 +8,7 @@ any order and two engines agree to the last bit.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fundperf.sources.readers import Tables
 from fundperf.sources.schemas import SCHEMAS
@@ -69,7 +70,7 @@ class _Source:
     def _order_cents(self, *keys: str) -> DataFrame:
         cents = self._raw["orders"].selectExpr(*keys, f"{_cents('o_totalprice')} AS cents")
         names = [name for name in cents.columns if name != "cents"]
-        return cents.groupBy(*names).agg({"cents": "sum"}).withColumnRenamed("sum(cents)", "s")
+        return cents.groupBy(*names).agg(F.sum("cents").alias("s"))
 
     def _fund_day(self) -> DataFrame:
         return self._order_cents(f"{_day('o_orderdate')} AS caldt", f"{_fund('o_custkey')} AS fund")
@@ -155,19 +156,16 @@ class _Source:
             f"date_add({LAST_DAY}, p_size) AS horizon_date",
             "p_retailprice AS target_price",
         )
-        best = targets.groupBy("fund", "ticker").agg({"horizon_date": "max", "target_price": "max"})
-        return best.selectExpr(
-            "fund", "ticker", "`max(horizon_date)` AS horizon_date", "`max(target_price)` AS target_price"
+        return targets.groupBy("fund", "ticker").agg(
+            F.max("horizon_date").alias("horizon_date"), F.max("target_price").alias("target_price")
         )
 
     def portfolio(self) -> DataFrame:
         """Settings of all funds but one, which has none yet."""
         owners = self._raw["customer"].selectExpr(f"{_fund('c_custkey')} AS fund", "c_nationkey")
-        sums = owners.where("fund <> 'quant'").groupBy("fund").agg({"c_nationkey": "sum", "*": "count"})
-        return sums.selectExpr(
-            "fund",
-            "(5 + `sum(c_nationkey)` % 10) / 100 AS benchmark_return",
-            "(2 + `count(1)` % 10) / 100 AS target_tracking_error",
+        return owners.where("fund <> 'quant'").groupBy("fund").agg(
+            F.expr("(5 + sum(c_nationkey) % 10) / 100 AS benchmark_return"),
+            F.expr("(2 + count(1) % 10) / 100 AS target_tracking_error"),
         )
 
     def logs(self) -> DataFrame:
