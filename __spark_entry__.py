@@ -82,7 +82,7 @@ def _upsert_holding(t: Tables) -> DataFrame:
 def _upsert_portfolio(t: Tables) -> DataFrame:
     target = t["portfolio"]
     updates = target.sparkSession.createDataFrame(PORTFOLIO_BATCH, target.schema)
-    return plans.upsert_portfolios(t, updates)
+    return plans.upsert_portfolios(t, updates, len(PORTFOLIO_BATCH))
 
 
 def _expected_return(t: Tables) -> DataFrame:

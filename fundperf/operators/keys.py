@@ -33,7 +33,11 @@ def daily_lookup(df: DataFrame, what: str, start: str | date, end: str | date) -
 
 
 def keyed_upsert(
-    target: DataFrame, updates: DataFrame, keys: Sequence[str], set_cols: Sequence[str]
+    target: DataFrame,
+    updates: DataFrame,
+    keys: Sequence[str],
+    set_cols: Sequence[str],
+    row_bound: int | None = None,
 ) -> DataFrame:
     """Insert or update by key.
 
@@ -41,13 +45,12 @@ def keyed_upsert(
     Unmatched updates become new rows, unmatched target rows stay. A key given twice in one
     batch fails the job.
 
-    Both joins against ``target`` have the batch on the build side, so a small batch is
-    broadcast and the target is not shuffled.
+    Both joins against ``target`` have the batch on the build side, so a batch whose
+    ``row_bound`` is small is broadcast and the target is not shuffled.
     """
     keys, set_cols = list(keys), list(set_cols)
-    batch = require_unique(
-        updates.select(*keys, *set_cols).withColumn("_given", F.lit(True)), keys, "upsert batch"
-    )
+    given = updates.select(*keys, *set_cols).withColumn("_given", F.lit(True))
+    batch = broadcast_within(require_unique(given, keys, "upsert batch"), row_bound)
     renamed = batch.withColumnsRenamed({name: f"_new_{name}" for name in set_cols})
     kept = target.join(renamed, keys, "left").select(
         *[

@@ -131,7 +131,8 @@ def ticker_universe(
     """
     booked = tables["positions"].filter(F.col("caldt") == F.lit(as_date(day)))
     lists = booked.filter(F.col("fund").isin(list(funds))).select(F.col("fund").alias("universe"), "ticker")
-    listed = booked.sparkSession.createDataFrame([(name,) for name in funds], "universe string")
+    names = F.explode(F.array(*[F.lit(name) for name in funds]))
+    listed = booked.sparkSession.range(1).select(names.alias("universe"))
     empty = listed.join(lists.select("universe").distinct(), "universe", "left_anti").select(
         "universe", F.lit(None).cast("string").alias("ticker")
     )
@@ -139,36 +140,45 @@ def ticker_universe(
     return lists.unionByName(empty).unionByName(union_list)
 
 
-def _batch(like: DataFrame, table: str, rows: Sequence[tuple]) -> DataFrame:
-    return like.sparkSession.createDataFrame(list(rows), SCHEMAS[table])
+def _upsert_row(tables: TablesLike, table: str, row: tuple) -> DataFrame:
+    updates = tables[table].sparkSession.createDataFrame([row], SCHEMAS[table])
+    return _upsert(tables, table, updates, 1)
 
 
-def _upsert(tables: TablesLike, table: str, updates: DataFrame) -> DataFrame:
+def _upsert(tables: TablesLike, table: str, updates: DataFrame, row_bound: int | None) -> DataFrame:
     keys = KEYS[table]
-    return keyed_upsert(
-        tables[table], updates, keys, [name for name in SCHEMAS[table].names if name not in keys]
-    )
+    set_cols = [name for name in SCHEMAS[table].names if name not in keys]
+    return keyed_upsert(tables[table], updates, keys, set_cols, row_bound)
 
 
 def upsert_portfolio(
     tables: TablesLike, fund: str, benchmark_return: float | None, target_tracking_error: float | None
 ) -> DataFrame:
     """The settings table after setting one fund's values."""
-    row = (fund, benchmark_return, target_tracking_error)
-    return upsert_portfolios(tables, _batch(tables["portfolio"], "portfolio", [row]))
+    return _upsert_row(tables, "portfolio", (fund, benchmark_return, target_tracking_error))
 
 
-def upsert_portfolios(tables: TablesLike, updates: DataFrame) -> DataFrame:
-    return _upsert(tables, "portfolio", updates)
+def upsert_portfolios(
+    tables: TablesLike, updates: DataFrame, row_bound: int | None = None
+) -> DataFrame:
+    """The settings table after a batch of at most ``row_bound`` rows, if that is known."""
+    return _upsert(tables, "portfolio", updates, row_bound)
 
 
 def upsert_holding(
-    tables: TablesLike, fund: str, ticker: str, horizon_date: str | date, target_price: float | None
+    tables: TablesLike,
+    fund: str,
+    ticker: str,
+    horizon_date: str | date | None,
+    target_price: float | None,
 ) -> DataFrame:
     """The targets table after setting one holding's values."""
-    row = (fund, ticker, None if horizon_date is None else as_date(horizon_date), target_price)
-    return upsert_holdings(tables, _batch(tables["holding"], "holding", [row]))
+    horizon = None if horizon_date is None else as_date(horizon_date)
+    return _upsert_row(tables, "holding", (fund, ticker, horizon, target_price))
 
 
-def upsert_holdings(tables: TablesLike, updates: DataFrame) -> DataFrame:
-    return _upsert(tables, "holding", updates)
+def upsert_holdings(
+    tables: TablesLike, updates: DataFrame, row_bound: int | None = None
+) -> DataFrame:
+    """The targets table after a batch of at most ``row_bound`` rows, if that is known."""
+    return _upsert(tables, "holding", updates, row_bound)

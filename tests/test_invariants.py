@@ -1,0 +1,77 @@
+"""Relations between queries on the test tables."""
+
+from __future__ import annotations
+
+import math
+
+import pytest
+
+import __spark_entry__ as contract
+from fundperf import plans
+from fundperf.constants import REPORT_FUNDS
+from fundperf.sources import demo_tables
+from tests.frames import rows_of
+
+START, END = contract.START, contract.END
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    return demo_tables(spark, contract.ENTRY_DIR)
+
+
+@pytest.fixture(scope="module")
+def by_fund(tables):
+    return {r["fund"]: r for r in plans.fund_performance(tables, START, END).collect()}
+
+
+def last_points(series):
+    points = {}
+    for row in sorted(series.collect(), key=lambda r: r["caldt"]):
+        points[row["fund"]] = row
+    return points
+
+
+def test_last_point_of_a_series_is_the_total_return(tables, by_fund):
+    for series in (plans.fund_return_series, plans.combined_return_series):
+        points = last_points(series(tables, START, END))
+        assert set(points) == set(by_fund)
+        for fund, row in by_fund.items():
+            assert math.isclose(points[fund]["cummulative_return"] / 100, row["total_return"], rel_tol=1e-9)
+
+
+def test_last_point_of_the_total_series(tables):
+    rows = rows_of(plans.total_return_series(tables, START, END))
+    total = plans.total_performance(tables, START, END).first()
+    assert math.isclose(rows[-1][1] / 100, total["total_return"], rel_tol=1e-9)
+
+
+def test_report_repeats_the_single_performances(tables, by_fund):
+    report = {r["fund"]: r for r in plans.performance_report(tables, START, END).collect()}
+    total = plans.total_performance(tables, START, END).first()
+    titles = {"grad": "Grad", "undergrad": "Undergrad", "quant": "Quant", "brigham_capital": "Brigham Capital"}
+    pairs = [(report["All"], total)] + [(report[title], by_fund[fund]) for fund, title in titles.items()]
+    assert len(report) == 5
+    for line, single in pairs:
+        for name in ("total_return", "volatility", "alpha", "beta", "tracking_error", "sharpe_ratio", "information_ratio"):
+            assert math.isclose(line[name], single[name], rel_tol=1e-9), (name, line, single)
+
+
+def test_single_fund_runs_equal_the_joint_run(tables):
+    whole = rows_of(plans.fund_daily_returns(tables, START, END))
+    parts = [r for fund in REPORT_FUNDS for r in rows_of(plans.fund_daily_returns(tables, START, END, [fund]))]
+    assert sorted(map(str, parts)) == sorted(map(str, whole))
+
+
+def test_report_is_sorted_and_titled(tables):
+    formatted = plans.performance_report_formatted(tables, START, END)
+    assert formatted.columns == [
+        "Fund", "Total Return", "Volatility", "Alpha", "Beta", "Tracking Error", "Sharpe Ratio", "Information Ratio"
+    ]
+    assert [r["Fund"] for r in formatted.collect()] == ["All", "Brigham Capital", "Grad", "Quant", "Undergrad"]
+
+
+def test_holdings_report_lists_current_tickers_only(tables):
+    current = set(rows_of(plans.current_tickers(tables)))
+    lines = rows_of(plans.holdings_performance(tables, START, END), "fund", "ticker")
+    assert len(lines) == len(set(lines)) and set(lines) <= current
