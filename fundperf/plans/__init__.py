@@ -20,7 +20,11 @@ from fundperf.plans.performance import (
     performance_report,
     total_performance,
 )
-from fundperf.plans.reports import holdings_report_formatted, performance_report_formatted
+from fundperf.plans.reports import (
+    holdings_report_formatted,
+    performance_report_formatted,
+    write_annual_report,
+)
 from fundperf.plans.returns import benchmark_daily_returns, fund_daily_returns, total_daily_returns
 from fundperf.plans.series import combined_return_series, fund_return_series, total_return_series
 
@@ -52,4 +56,5 @@ __all__ = [
     "upsert_holdings",
     "upsert_portfolio",
     "upsert_portfolios",
+    "write_annual_report",
 ]

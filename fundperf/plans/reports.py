@@ -12,6 +12,8 @@ from fundperf.constants import REPORT_FUNDS
 from fundperf.functions.text import as_number, as_percent, header
 from fundperf.plans.performance import holdings_performance, performance_report
 from fundperf.plans.returns import TablesLike
+from fundperf.plans.series import combined_return_series, fund_return_series, total_return_series
+from fundperf.sources.sinks import write_report, write_series
 
 OVERALL_PERCENT = ("total_return", "volatility", "tracking_error", "alpha")
 OVERALL_NUMBER = ("beta", "sharpe_ratio", "information_ratio")
@@ -40,3 +42,26 @@ def holdings_report_formatted(
     report = holdings_performance(tables, start, end, funds)
     named = report.withColumn("fund", F.initcap(F.replace("fund", F.lit("_"), F.lit(" "))))
     return formatted(named, HOLDINGS_PERCENT, HOLDINGS_NUMBER)
+
+
+def write_annual_report(
+    tables: TablesLike,
+    start: str | date,
+    end: str | date,
+    path: str,
+    funds: Sequence[str] = REPORT_FUNDS,
+) -> None:
+    """Write both reports and the three series below a new folder, each as one Spark job.
+
+    Volatility and tracking error are annualised, weights are those of the last day; all other
+    values are period totals.
+    """
+    write_report(performance_report_formatted(tables, start, end, funds), f"{path}/overall_performance")
+    write_report(
+        holdings_report_formatted(tables, start, end, funds),
+        f"{path}/holdings_performance",
+        partition_by="Fund",
+    )
+    write_series(total_return_series(tables, start, end), f"{path}/total_return_series")
+    write_series(fund_return_series(tables, start, end, funds), f"{path}/fund_return_series")
+    write_series(combined_return_series(tables, start, end, funds), f"{path}/combined_return_series")

@@ -9,9 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def write_report(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
+def write_report(
+    df: DataFrame,
+    path: str,
+    fmt: str = "parquet",
+    mode: str = "errorifexists",
+    partition_by: str | None = None,
+) -> None:
+    """A report as files, on request with one folder per value of a column."""
     options = {"header": "true"} if fmt == "csv" else {}
-    df.write.format(fmt).options(**options).mode(mode).save(path)
+    writer = df.write.format(fmt).options(**options).mode(mode)
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
+    writer.save(path)
 
 
 def write_series(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -8,6 +8,7 @@ from decimal import Decimal
 import pytest
 
 from fundperf import plans
+from fundperf.__main__ import main
 from fundperf.sources import (
     SCHEMAS,
     conform,
@@ -120,3 +121,20 @@ def test_demo_tables_have_the_declared_schema_and_the_oracle_rows(spark, name):
     expected = con.execute(f"WITH {ctes} SELECT * FROM {view}").fetchall()
     assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, expected))
     assert df.count() > 0
+
+
+def test_annual_report_from_stored_tables(spark, tmp_path):
+    demo = demo_tables(spark, "/root/testdata/sf0.001")
+    for name in SCHEMAS:
+        write_snapshot(demo[name], str(tmp_path / "tables" / name))
+    out = tmp_path / "out"
+    main(["--tables", str(tmp_path / "tables"), "--out", str(out), "--start", "1995-07-01", "--end", "2001-06-29"])
+    assert {p.name for p in out.iterdir()} == {
+        "overall_performance", "holdings_performance", "total_return_series", "fund_return_series",
+        "combined_return_series",
+    }
+    overall = spark.read.parquet(str(out / "overall_performance"))
+    assert overall.count() == 5
+    holdings = spark.read.parquet(str(out / "holdings_performance"))
+    direct = plans.holdings_report_formatted(demo, "1995-07-01", "2001-06-29").select(*holdings.columns)
+    assert rows_of(holdings) == rows_of(direct)
