@@ -54,7 +54,7 @@ def parquet_tables(spark: SparkSession, root: str) -> Tables:
 def jdbc_settings(settings: Mapping[str, str] | None = None) -> dict[str, str]:
     """JDBC options from connection settings, by default the process environment.
 
-    The password travels as an option of its own, never inside the URL.
+    The five ``DB_`` names are fixed values. The password travels as an option of its own, never inside the URL.
     """
     values = os.environ if settings is None else settings
     return {
