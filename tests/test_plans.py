@@ -91,3 +91,14 @@ def test_conditions_and_columns_reach_the_files(spark, tmp_path):
     assert "EqualTo(fund,grad)" in pushed.group(1)
     assert "GreaterThanOrEqual(caldt,2024-01-01)" in pushed.group(1)
     assert "shares" not in pushed.group(2)
+
+
+def test_day_folders_are_pruned(spark, tmp_path):
+    rows = [(f"2024-01-{d:02d}", "grad", f"T{d}", "EQ", 1.0, 2.0, 1.0) for d in range(1, 10)]
+    positions = make_tables(spark, positions=rows)["positions"]
+    positions.write.partitionBy("caldt").parquet(str(tmp_path / "positions"))
+    stored = parquet_tables(spark, str(tmp_path))
+    universe = plans.ticker_universe(stored, "2024-01-05", ["grad"])
+    assert sorted(map(tuple, universe.collect())) == [("all_tickers", "T5"), ("grad", "T5")]
+    scans = re.findall(r"PartitionFilters: \[([^\]]*)\]", plan_of(universe))
+    assert scans and all("caldt" in scan for scan in scans)
