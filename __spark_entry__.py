@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
 import sys
 from collections.abc import Callable
 from pathlib import Path
@@ -197,14 +199,34 @@ def _bound(query: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str]
     return lambda spark, sf_dir: _rounded(query(demo_tables(spark, sf_dir)))
 
 
+def _optional(module: str):
+    """A module of the corpus part, or None where that part isn't installed; errors inside it surface."""
+    spec = importlib.util.find_spec(module)
+    return importlib.import_module(module) if spec is not None and spec.origin else None
+
+
+def _corpus(attribute: str) -> dict:
+    """Queries or SQL of the corpus operators and of the pipeline over them."""
+    if _optional("fundperf.llm") is None:
+        return {}
+    found = dict(getattr(importlib.import_module("fundperf.llm.queries"), attribute))
+    pipeline = _optional("corpus_pipeline")
+    if pipeline is not None:
+        if attribute == "QUERIES":
+            found["pipeline"] = pipeline.run
+        elif pipeline.ORACLE_SQL is not None:
+            found["pipeline"] = pipeline.ORACLE_SQL
+    return found
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Performance of every fund on the smallest test tables."""
     return queries()["fund_performance"](spark, ENTRY_DIR)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _bound(query) for name, query in _QUERIES.items()}
+    return {name: _bound(query) for name, query in _QUERIES.items()} | _corpus("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return dict(ORACLES) | _corpus("ORACLES")
