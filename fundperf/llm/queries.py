@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .sharding import op6_sharding
 from .simhash import op10_simhash
+from .substring_dedup import op4_substring_dedup
 
 QUERIES = {
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_sharding": op6_sharding,
     "op10_simhash": op10_simhash,
 }
