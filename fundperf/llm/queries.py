@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import quality_rules
+from .quality_rules import op7_quality_rules
 from .sharding import op6_sharding
 from .simhash import op10_simhash
 from .substring_dedup import op4_substring_dedup
@@ -9,7 +11,8 @@ from .substring_dedup import op4_substring_dedup
 QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op6_sharding": op6_sharding,
+    "op7_quality_rules": op7_quality_rules,
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_quality_rules": quality_rules.ORACLE_SQL}
