@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import quality_rules
+from .packing import op9_packing
 from .quality_rules import op7_quality_rules
 from .sharding import op6_sharding
 from .simhash import op10_simhash
@@ -12,6 +13,7 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op6_sharding": op6_sharding,
     "op7_quality_rules": op7_quality_rules,
+    "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
 }
 
