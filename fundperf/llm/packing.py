@@ -30,18 +30,15 @@ END_ID = 0
 GAP, ROUNDS = 0.001, 600
 #: Buckets that pieces of one class are ranked in; with the classes, the bound of the broadcast counts.
 RANK_BUCKETS = 512
-#: Units a task remembers the ids of.
-REMEMBERED = 300_000
 SPECIAL = "<|endoftext|>"
 
 
 class Ids:
     """Token ids of texts as little-endian 32-bit integers.
 
-    ``vocabulary`` is the tokenizers file, ``ranks`` the same vocabulary as ranks. A single space between
-    two other characters always starts a pre-token, so texts are looked up by the units between spaces,
-    which repeat. Texts with other runs of white space are encoded as a whole, and texts with letters beyond
-    Latin by the tokenizers library itself.
+    ``vocabulary`` is the tokenizers file, ``ranks`` the same vocabulary as ranks, which encodes several
+    times as fast. Texts with letters beyond Latin go to the tokenizers library itself, as the two may know
+    letters of different Unicode versions.
     """
 
     def __init__(self, vocabulary: str, ranks: str, pattern: str):
@@ -53,24 +50,14 @@ class Ids:
             table_ = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table_, special_tokens={})
         self.special = np.array([self.library.token_to_id(SPECIAL)], "<u4").tobytes()
-        self.runs, self.foreign = re.compile(r"\s | \s"), re.compile("[^\\x00-\\u024f\\u2010-\\u2027\\u20ac]")
-        self.units: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+        self.foreign = re.compile("[^\\x00-\\u024f\\u2010-\\u2027\\u20ac]")
 
     def part(self, text: str) -> bytes:
         if self.foreign.search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if self.runs.search(text):
-            return self.encode(text)
-        first, *rest = text.split(" ")
-        known = self.units
-        if len(known) > REMEMBERED:
-            known.clear()
-        for unit in set(rest).difference(known):
-            known[unit] = self.encode(" " + unit)
-        return self.encode(first) + b"".join(map(known.__getitem__, rest))
+            ids = self.library.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast.encode_ordinary(text)
+        return np.array(ids, "<u4").tobytes()
 
     def of(self, text: str | None) -> bytes:
         return self.special.join(self.part(part) if part else b"" for part in (text or "").split(SPECIAL))
