@@ -8,8 +8,10 @@ from .quality_rules import op7_quality_rules
 from .sharding import op6_sharding
 from .simhash import op10_simhash
 from .substring_dedup import op4_substring_dedup
+from .token_counts import op3_token_counts
 
 QUERIES = {
+    "op3_token_counts": op3_token_counts,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_sharding": op6_sharding,
     "op7_quality_rules": op7_quality_rules,
