@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import quality_rules
+from .license_scan import op5_license_scan
 from .packing import op9_packing
 from .quality_rules import op7_quality_rules
 from .sharding import op6_sharding
@@ -13,6 +14,7 @@ from .token_counts import op3_token_counts
 QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_license_scan": op5_license_scan,
     "op6_sharding": op6_sharding,
     "op7_quality_rules": op7_quality_rules,
     "op9_packing": op9_packing,
