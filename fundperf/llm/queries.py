@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import quality_rules
 from .license_scan import op5_license_scan
 from .packing import op9_packing
+from .quality_classifier import op8_quality_classifier
 from .quality_rules import op7_quality_rules
 from .sharding import op6_sharding
 from .simhash import op10_simhash
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_license_scan": op5_license_scan,
     "op6_sharding": op6_sharding,
     "op7_quality_rules": op7_quality_rules,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
 }
