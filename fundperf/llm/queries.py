@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import quality_rules
+from .decontamination import op2_decontamination
 from .license_scan import op5_license_scan
 from .packing import op9_packing
 from .quality_classifier import op8_quality_classifier
@@ -14,6 +15,7 @@ from .token_counts import op3_token_countsfrom .url_filter import op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_decontamination": op2_decontamination,
     "op3_token_counts": op3_token_counts,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_license_scan": op5_license_scan,
