@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at once inside a task; a longer single text is one slice by itself.
@@ -38,6 +38,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def version_of() -> Column:
+    """A checksum of the text, which tells rows that share a doc_id apart."""
+    return F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches again, in slices of at most SLICE_BYTES of text (or one row)."""
     for batch in batches:

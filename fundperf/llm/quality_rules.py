@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, version_of
 
 MIN_WORDS = 50
 #: Per cent of words in repeated 3-word windows.
@@ -127,8 +127,7 @@ def judge(docs: DataFrame) -> DataFrame:
     each, towards their host as well. Other columns aren't read; an empty table gives an empty result.
     The measures are one written table: hosts are aggregated from it and joined back to its narrow rows.
     """
-    text = F.coalesce("text", F.lit("")).cast("binary")
-    rows = cut(failures(measured(docs.select("doc_id", "text", "source", F.crc32(text).alias("version")))))
+    rows = cut(failures(measured(docs.select("doc_id", "text", "source", version_of().alias("version")))))
     hosts = host_rates(rows)
     strict = (F.col("rate") > STRICT) & F.col("soft_failed")
     return rows.join(hosts.select("host", "rate"), F.col("source").eqNullSafe(F.col("host"))).withColumn(

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, cut, table, text_slices, texts_of
+from .common import arrow_schema, cut, table, text_slices, texts_of, version_of
 from .graph import connected_components
 
 SHINGLE = 4
@@ -56,15 +56,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long) of every document; null texts count as empty."""
-    schema = arrow_schema("doc_id long, fp long")
+    """(doc_id, version, fp long) of every document; null texts count as empty."""
+    kind = "doc_id long, version long, fp long"
+    schema = arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
             values = [fingerprint(text, shingle) for text in texts_of(part)]
-            yield pa.record_batch([part["doc_id"].cast(pa.int64()), pa.array(values, pa.int64())], schema=schema)
+            yield pa.record_batch(
+                [part["doc_id"].cast(pa.int64()), part["version"], pa.array(values, pa.int64())], schema=schema
+            )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", version_of().alias("version"), "text").mapInArrow(run, kind)
 
 
 def block_masks(blocks: int, distance: int) -> list[int]:
@@ -251,7 +254,7 @@ def fingerprint_links(codes: DataFrame, distance: int = DISTANCE, blocks: int =
 def near_duplicate_groups(
     docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, blocks: int = BLOCKS
 ) -> DataFrame:
-    """(doc_id, fp, component_id) of every document.
+    """(doc_id, version, fp, root, component_id) of every document; root names the component.
 
     Equal fingerprints count once in the search, so exact copies add no work. component_id is the smallest
     doc_id reachable over links. Null and wordless texts have fingerprint zero and link like any other;
@@ -265,8 +268,8 @@ def near_duplicate_groups(
         "fp", "first_doc", F.coalesce("root", "fp").alias("root")
     )
     smallest = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(smallest, "root").select("fp", "root", "component_id")
+    return marked.join(named, "fp").select("doc_id", "version", "fp", "root", "component_id")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

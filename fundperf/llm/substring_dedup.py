@@ -20,8 +20,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import arrow_schema, cut, splitmix, table, text_slices, texts_of
+from .common import arrow_schema, cut, splitmix, table, text_slices, texts_of, version_of
 
 LENGTH = 50
 K = 12
@@ -155,17 +156,12 @@ def windows_at(docs: DataFrame, length: int, k: int) -> DataFrame:
     return docs.mapInArrow(run, kind)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id and text, with a checksum that tells rows of one doc_id apart."""
-    return docs.select("doc_id", "text", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("version"))
-
-
 def repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """(doc_id, version, starts, stops): overlapping word spans that together are the repeats of a document.
 
-    A span belongs to a document if a smaller doc_id has the same words. ``docs`` comes from ``keyed``.
+    A span belongs to a document if a smaller doc_id has the same words. ``docs`` has doc_id, text, version.
     """
-    known = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    known = docs.select("doc_id", "text", "version").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     found = cut(occurrences(known, length, k))
     shared = (
         found.groupBy("anchor")
@@ -202,48 +198,56 @@ def removed_words(n: int, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def with_repeats(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """``keyed`` documents with the spans to remove (null for none)."""
-    rows = keyed(docs)
-    return rows.join(repeats(rows, length, k), ["doc_id", "version"], "left")
-
-
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, text) of every row; text has the words that stay.
+    """(others, text, n_words, n_removed, kept_sha256) of every row.
 
-    Untouched texts stay as they are; others keep their remaining words, joined by one space. Null texts
-    have no words and stay null. A null doc_id is neither smaller nor larger than another: such rows stay as
-    they are. Rows that share a doc_id are judged each by its own text, and not against one another. Other
-    columns aren't read; an empty table gives an empty result.
+    ``others`` holds all other columns, whatever their names; text has the words that stay. Untouched texts
+    stay as they are; others keep their remaining words, joined by one space. Null texts have no words and
+    stay null. A null doc_id is neither smaller nor larger than another: such rows stay as they are. Rows
+    that share a doc_id are judged each by its own text, and not against one another. An empty table gives
+    an empty result.
     """
-    kind = "doc_id long, n_words long, n_removed long, kept_sha256 string, text string"
-    schema = arrow_schema(kind)
+    others = [F.col(f"`{name}`") for name in docs.columns if name != "text"]
+    rows = docs.select("doc_id", "text", version_of().alias("version"), F.struct(*others).alias("others"))
+    joined = rows.join(repeats(rows, length, k), ["doc_id", "version"], "left")
+    kind = StructType(
+        [
+            joined.schema["others"],
+            StructField("text", StringType()),
+            StructField("n_words", LongType()),
+            StructField("n_removed", LongType()),
+            StructField("kept_sha256", StringType()),
+        ]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
             rows = []
-            originals = part["text"].to_pylist()
-            for text, original, starts, stops in zip(
-                texts_of(part), originals, part["starts"].to_pylist(), part["stops"].to_pylist()
+            for text, shown, starts, stops in zip(
+                texts_of(part), part["text"].to_pylist(), part["starts"].to_pylist(), part["stops"].to_pylist()
             ):
-                words = text.split()
-                kept, shown = words, original
+                kept = words = text.split()
                 if starts:
                     gone = removed_words(len(words), np.array(starts), np.array(stops))
                     kept = [w for w, g in zip(words, gone.tolist()) if not g]
                 joined = b" ".join(kept)
                 if starts:
                     shown = joined.decode()
-                rows.append((len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), shown))
-            columns = list(zip(*rows))
-            yield pa.record_batch(
-                [part["doc_id"].cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:]))],
-                schema=schema,
-            )
+                rows.append((shown, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest()))
+            texts, n_words, n_removed, digests = zip(*rows)
+            columns = [
+                part["others"],
+                pa.array(texts, pa.string()),
+                pa.array(n_words, pa.int64()),
+                pa.array(n_removed, pa.int64()),
+                pa.array(digests, pa.string()),
+            ]
+            yield pa.record_batch(columns, names=kind.names)
 
-    return with_repeats(docs, length, k).mapInArrow(run, kind)
+    return joined.select("others", "text", "starts", "stops").mapInArrow(run, kind)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What removing repeated 50-word windows leaves of every document."""
-    return dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_substrings(docs).select("others.doc_id", "n_words", "n_removed", "kept_sha256")
