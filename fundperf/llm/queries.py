@@ -11,7 +11,8 @@ from .quality_rules import op7_quality_rules
 from .sharding import op6_sharding
 from .simhash import op10_simhash
 from .substring_dedup import op4_substring_dedup
-from .token_counts import op3_token_countsfrom .url_filter import op1_url_filter
+from .token_counts import op3_token_counts
+from .url_filter import op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
