@@ -88,8 +88,8 @@ def host_rates(rows: DataFrame) -> DataFrame:
     """host, n, failed, shrunken rate: failures over both kinds of rules, under one fitted beta prior.
 
     The prior's mean is the rate over all documents. With m hosts, N documents and a weighted spread S of
-    the host rates, the moments give the variance between hosts v and the prior's strength mean(1-mean)/v - 1;
-    where that isn't positive and finite, PRIOR_ROWS is used.
+    the host rates, the moments give the variance between hosts v and the prior's strength mean(1-mean)/v - 1,
+    at least one row. Where hosts don't differ by more than chance, or there is one, it is PRIOR_ROWS.
     """
     hosts = rows.groupBy(F.col("source").alias("host")).agg(
         F.count("*").alias("n"),
@@ -109,7 +109,7 @@ def host_rates(rows: DataFrame) -> DataFrame:
     )
     strength = F.try_divide(mean * (1 - mean), variance) - 1
     prior = total.select(
-        "mean", F.when((variance > 0) & (strength > 0), strength).otherwise(F.lit(PRIOR_ROWS)).alias("strength")
+        "mean", F.when(variance > 0, F.greatest(strength, F.lit(1.0))).otherwise(F.lit(PRIOR_ROWS)).alias("strength")
     )
     # One row, by its aggregate without keys.
     return hosts.join(F.broadcast(prior), how="cross").select(
@@ -191,8 +191,7 @@ WITH texts AS (
         / nullif(all_n - squares / all_n - (m - 1), 0) AS variance
     FROM total
 ), prior AS (
-    SELECT mean, CASE WHEN variance > 0 AND mean * (1 - mean) / variance - 1 > 0
-        THEN mean * (1 - mean) / variance - 1 ELSE 20.0 END AS strength
+    SELECT mean, CASE WHEN variance > 0 THEN greatest(mean * (1 - mean) / variance - 1, 1.0) ELSE 20.0 END AS strength
     FROM moments
 ), rates AS (
     SELECT host, (failed + strength * mean) / (n + strength) AS rate FROM hosts, prior
