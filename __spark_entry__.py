@@ -26,16 +26,17 @@ ENTRY_DIR = "/root/testdata/sf0.001"
 
 # Parameters of all queries (see FIXTURES.md).
 START, END = "1995-07-01", "2001-06-29"
-UNIVERSE_DAY = "2001-07-13"
+UNIVERSE_DAY = "2001-06-25"
 LOG_START, LOG_END, LOG_FUNDS = "2024-01-10", "2024-01-20", ("grad", "quant")
-PORTFOLIO_BATCH = [("grad", 0.09, 0.04), ("quant", 0.07, None)]
+PORTFOLIO_BATCH = [("grad", 0.09, 0.04), ("omega", 0.07, None)]
 
 
-def _rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six places, halves upwards; the SQL does the same arithmetic."""
+def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """Doubles to some places, halves upwards; the SQL does the same arithmetic."""
+    unit = f"1e{places}D"
     return df.selectExpr(
         *[
-            f"floor(`{name}` * 1e6D + 0.5D) / 1e6D AS `{name}`" if kind == "double" else f"`{name}`"
+            f"floor(`{name}` * {unit} + 0.5D) / {unit} AS `{name}`" if kind == "double" else f"`{name}`"
             for name, kind in df.dtypes
         ]
     )
@@ -195,8 +196,23 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 
-def _bound(query: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: _rounded(query(demo_tables(spark, sf_dir)))
+# The queries that need nothing but the library.
+LIBRARY = tuple(_QUERIES)
+
+# Statistics are small numbers: more places of them are compared than the usual six.
+PLACES = {"holdings_performance": 8} | dict.fromkeys(
+    (
+        "total_performance",
+        "fund_performance",
+        "performance_report",
+        *(name for name in _QUERIES if name.startswith("op_") and name not in ("op_lag_state", "op_cumulative_return")),
+    ),
+    10,
+)
+
+
+def _bound(name: str, query: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: _rounded(query(demo_tables(spark, sf_dir)), PLACES.get(name, 6))
 
 
 def _optional(module: str):
@@ -225,7 +241,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _bound(query) for name, query in _QUERIES.items()} | _corpus("QUERIES")
+    return {name: _bound(name, query) for name, query in _QUERIES.items()} | _corpus("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:

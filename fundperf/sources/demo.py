@@ -1,7 +1,7 @@
 """The domain tables as views over the TPC-H-like test tables (see FIXTURES.md).
 
 Every source row counts: no key is filtered out, and tickers multiply with the parts and
-customers. All measures are integers or binary fractions, so sums and averages are exact in
+customers. Lines are booked weekly, each fund on its own weekday, so funds end on different days. All measures are integers or binary fractions, so sums and averages are exact in
 any order and two engines agree to the last bit.
 """
 
@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from fundperf.sources.readers import Tables
 from fundperf.sources.schemas import SCHEMAS
 
-# Later bookings count on this day, which gives every fund a full last snapshot.
-LAST_DAY = "DATE'2001-07-13'"
+# Horizons count from here.
+HORIZON = "DATE'2001-12-31'"
+# Days count from here in the market's move.
+FIRST_DAY = "DATE'1995-01-01'"
 
 # Columns used of the source tables, declared so that reading needs no inference job.
 SOURCES = {
@@ -33,7 +35,18 @@ SOURCES = {
 
 
 def _day(ts: str) -> str:
-    return f"least(CAST({ts} AS DATE), {LAST_DAY})"
+    return f"CAST({ts} AS DATE)"
+
+
+def _booking_day(ts: str, key: str) -> str:
+    """The fund's last booking day up to ``ts``: Mondays, for undergrad Tuesdays, for quant Thursdays."""
+    shift = f"CASE {key} % 4 WHEN 1 THEN 1 WHEN 3 THEN 3 ELSE 0 END"
+    return f"date_sub({_day(ts)}, pmod(weekday({_day(ts)}) - ({shift}), 7))"
+
+
+def _market(day: str, back: int = 0) -> str:
+    """A level between -50 and 50 that only the day decides, which benchmark and funds share."""
+    return f"((datediff({day}, {FIRST_DAY}) + {1000 - back}) * 37 % 101 - 50)"
 
 
 def _fund(key: str) -> str:
@@ -75,13 +88,20 @@ class _Source:
     def _fund_day(self) -> DataFrame:
         return self._order_cents(f"{_day('o_orderdate')} AS caldt", f"{_fund('o_custkey')} AS fund")
 
+    def _booked(self) -> DataFrame:
+        days, fund = _booking_day("l_shipdate", "l_suppkey"), _fund("l_suppkey")
+        cents = self._raw["lineitem"].selectExpr(
+            f"{days} AS caldt", f"{fund} AS fund", f"{_cents('l_extendedprice')} AS cents"
+        )
+        return cents.groupBy("caldt", "fund").agg(F.sum("cents").alias("s"))
+
     def _daily(self) -> DataFrame:
         return self._order_cents(f"{_day('o_orderdate')} AS caldt")
 
     def positions(self) -> DataFrame:
         bucket = _bucket("l_partkey")
         return self._raw["lineitem"].selectExpr(
-            f"{_day('l_shipdate')} AS caldt",
+            f"{_booking_day('l_shipdate', 'l_suppkey')} AS caldt",
             f"{_fund('l_suppkey')} AS fund",
             f"{_ticker('l_partkey')} AS ticker",
             f"CASE WHEN l_returnflag = 'A' AND l_linenumber = 7 THEN 'OPT' "
@@ -105,8 +125,8 @@ class _Source:
         )
 
     def dividends(self) -> DataFrame:
-        day = _day("l_shipdate")
-        return self._raw["lineitem"].where("l_returnflag = 'R'").selectExpr(
+        day = _booking_day("l_shipdate", "l_suppkey")
+        return self._raw["lineitem"].selectExpr(
             f"{day} AS caldt",
             f"{_fund('l_suppkey')} AS fund",
             f"{_ticker('l_partkey')} AS ticker",
@@ -118,17 +138,20 @@ class _Source:
     def delta_nav(self) -> DataFrame:
         start = "(CASE WHEN s % 97 = 0 THEN 0 ELSE 1000000 + s % 100000 END)"
         flow = "(CASE WHEN s % 11 = 0 THEN 5000 ELSE 0 END)"
+        share = "CASE fund WHEN 'grad' THEN 200 WHEN 'undergrad' THEN 250 WHEN 'quant' THEN 350 ELSE 300 END"
+        move = f"s % 20001 - 9900 + ({share}) * ({_market('caldt')} - {_market('caldt', 1)})"
         return self._fund_day().selectExpr(
             "caldt",
             "fund",
             f"CAST({start} AS DOUBLE) AS starting_value",
-            f"CAST((CASE WHEN s % 89 = 0 THEN {start} ELSE {start} + s % 20001 - 9900 END) + {flow} AS DOUBLE) "
+            f"CAST((CASE WHEN s % 89 = 0 THEN {start} ELSE {start} + {move} END) + {flow} AS DOUBLE) "
             "AS ending_value",
             f"CAST({flow} AS DOUBLE) AS deposits_withdrawals",
         )
 
     def nav(self) -> DataFrame:
-        return self._fund_day().selectExpr(
+        """Stock values on booking days."""
+        return self._booked().selectExpr(
             "caldt",
             "fund",
             "CAST(CASE WHEN s % 53 = 0 THEN 0 ELSE 900000 + s % 50000 END AS DOUBLE) AS stock",
@@ -136,7 +159,7 @@ class _Source:
 
     def benchmark(self) -> DataFrame:
         """A level for every day but the public holidays."""
-        levels = self._daily().selectExpr("caldt", "200 + (s % 500) / 64 AS ending_value")
+        levels = self._daily().selectExpr("caldt", f"200 + {_market('caldt')} / 16 + (s % 32) / 64 AS ending_value")
         return levels.where("date_format(caldt, 'MM-dd') NOT IN ('01-01', '07-04', '12-25')")
 
     def risk_free_rate(self) -> DataFrame:
@@ -149,11 +172,11 @@ class _Source:
         return days.where("weekday(caldt) < 5")
 
     def holding(self) -> DataFrame:
-        """Targets of the tickers with other than small parts only."""
-        targets = self._raw["part"].where("p_type <> 'SMALL'").selectExpr(
+        """Targets from all parts; every second ticker has none."""
+        targets = self._raw["part"].selectExpr(
             f"{_fund('p_partkey')} AS fund",
-            f"{_ticker('p_partkey')} AS ticker",
-            f"date_add({LAST_DAY}, p_size) AS horizon_date",
+            f"{_ticker('(p_partkey - p_partkey % 20)')} AS ticker",
+            f"date_add({HORIZON}, p_size) AS horizon_date",
             "p_retailprice AS target_price",
         )
         return targets.groupBy("fund", "ticker").agg(
@@ -161,9 +184,9 @@ class _Source:
         )
 
     def portfolio(self) -> DataFrame:
-        """Settings of all funds but one, which has none yet."""
+        """Settings of the four funds."""
         owners = self._raw["customer"].selectExpr(f"{_fund('c_custkey')} AS fund", "c_nationkey")
-        return owners.where("fund <> 'quant'").groupBy("fund").agg(
+        return owners.groupBy("fund").agg(
             F.expr("(5 + sum(c_nationkey) % 10) / 100 AS benchmark_return"),
             F.expr("(2 + count(1) % 10) / 100 AS target_tracking_error"),
         )

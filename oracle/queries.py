@@ -28,17 +28,17 @@ def statement(body: str) -> str:
     return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body
 
 
-def six(value: str) -> str:
-    """A double to six places, halves upwards, as plain arithmetic."""
-    return f"FLOOR(({value}) * 1e6 + 0.5) / 1e6"
+def six(value: str, places: int = 6) -> str:
+    """A double to six places or more, halves upwards, as plain arithmetic."""
+    return f"FLOOR(({value}) * 1e{places} + 0.5) / 1e{places}"
 
 
-def rounded(source: str, plain: str, doubles: str) -> str:
-    """Select plain columns and doubles rounded to six places; ``a=b`` renames a to b."""
+def rounded(source: str, plain: str, doubles: str, places: int = 6) -> str:
+    """Select plain columns and rounded doubles; ``a=b`` renames a to b."""
     pairs = [item.partition("=") for item in plain.split()]
     columns = [f'{a} AS "{b or a}"' for a, _, b in pairs]
     pairs = [item.partition("=") for item in doubles.split()]
-    columns += [f'{six(a)} AS "{b or a}"' for a, _, b in pairs]
+    columns += [f'{six(a, places)} AS "{b or a}"' for a, _, b in pairs]
     return f"SELECT {', '.join(columns)} FROM {source}"
 
 
@@ -105,8 +105,8 @@ _BODIES: dict[str, str] = {
     ),
     "portfolio_defaults": rounded("portfolio", "fund", "benchmark_return target_tracking_error"),
     "upsert_portfolio": rounded(
-        """(SELECT * FROM portfolio WHERE fund NOT IN ('grad', 'quant')
-            UNION ALL VALUES ('grad', 0.09::DOUBLE, 0.04::DOUBLE), ('quant', 0.07::DOUBLE, NULL))""",
+        """(SELECT * FROM portfolio WHERE fund <> 'grad'
+            UNION ALL VALUES ('grad', 0.09::DOUBLE, 0.04::DOUBLE), ('omega', 0.07::DOUBLE, NULL))""",
         "fund",
         "benchmark_return target_tracking_error",
     ),
@@ -127,12 +127,12 @@ _BODIES: dict[str, str] = {
     "ticker_universe": """
         SELECT l.fund AS universe, p.ticker
         FROM (VALUES ('grad'), ('undergrad'), ('brigham_capital'), ('quant')) l(fund)
-        LEFT JOIN positions p ON p.fund = l.fund AND p.caldt = DATE '2001-07-13'
+        LEFT JOIN positions p ON p.fund = l.fund AND p.caldt = DATE '2001-06-25'
         UNION ALL
-        (SELECT DISTINCT 'all_tickers', ticker FROM positions WHERE caldt = DATE '2001-07-13')""",
-    "total_performance": rounded("total_stats", "", _ALL_MEASURES),
-    "fund_performance": rounded("fund_stats", "fund", _ALL_MEASURES + " total_return_bmk"),
-    "performance_report": rounded("report", "fund", _ALL_MEASURES.replace("dividends ", "")),
+        (SELECT DISTINCT 'all_tickers', ticker FROM positions WHERE caldt = DATE '2001-06-25')""",
+    "total_performance": rounded("total_stats", "", _ALL_MEASURES, 10),
+    "fund_performance": rounded("fund_stats", "fund", _ALL_MEASURES + " total_return_bmk", 10),
+    "performance_report": rounded("report", "fund", _ALL_MEASURES.replace("dividends ", ""), 10),
     "performance_report_formatted": f"""
         SELECT fund AS "Fund", {_percent("total_return")} AS "Total Return", {_percent("volatility")} AS "Volatility",
                {_percent("alpha")} AS "Alpha", {_number("beta")} AS "Beta",
@@ -140,7 +140,7 @@ _BODIES: dict[str, str] = {
                {_number("information_ratio")} AS "Information Ratio"
         FROM report""",
     "holdings_performance": rounded(
-        "holdings_stats", "fund ticker", "weight total_return volatility alpha beta"
+        "holdings_stats", "fund ticker", "weight total_return volatility alpha beta", 8
     ),
     "holdings_report_formatted": f"""
         SELECT CASE fund WHEN 'grad' THEN 'Grad' WHEN 'undergrad' THEN 'Undergrad' WHEN 'quant' THEN 'Quant'
@@ -206,20 +206,21 @@ _BODIES: dict[str, str] = {
         "ret=return xs=xs_return b_ret=return_bmk b_div=div_return b_ret-b_rf=xs_return_bmk "
         "b_div-b_rf=xs_div_return",
     ),
-    "op_volatility": f"SELECT fund, {six(annual_std('ret'))} AS volatility FROM fund_series GROUP BY fund",
+    "op_volatility": f"SELECT fund, {six(annual_std('ret'), 10)} AS volatility FROM fund_series GROUP BY fund",
     "op_tracking_error": f"""
-        SELECT fund, {six(annual_std("xs - xs_div"))} AS tracking_error FROM fund_joined GROUP BY fund""",
+        SELECT fund, {six(annual_std("xs - xs_div"), 10)} AS tracking_error FROM fund_joined GROUP BY fund""",
     "op_expected_return": f"""
-        SELECT fund, {six("AVG(xs) * 252")} AS expected_return FROM fund_series GROUP BY fund""",
+        SELECT fund, {six("AVG(xs) * 252", 10)} AS expected_return FROM fund_series GROUP BY fund""",
     "op_ols_beta_alpha": rounded(
         f"""(SELECT fund, {finite("regr_slope(xs, xs_bmk)")} AS beta,
                     {finite("regr_intercept(xs, xs_bmk)")} AS alpha FROM fund_joined GROUP BY fund)""",
         "fund",
         "beta alpha",
+        10,
     ),
-    "op_sharpe_ratio": rounded("fund_stats", "fund", "sharpe_ratio"),
-    "op_information_ratio": rounded("fund_stats", "fund", "information_ratio"),
-    "op_period_alpha": rounded("fund_stats", "fund", "alpha"),
+    "op_sharpe_ratio": rounded("fund_stats", "fund", "sharpe_ratio", 10),
+    "op_information_ratio": rounded("fund_stats", "fund", "information_ratio", 10),
+    "op_period_alpha": rounded("fund_stats", "fund", "alpha", 10),
     "op_cumulative_return": rounded(
         f"""(SELECT caldt, fund, ret, {running("ret", "fund")} AS cum FROM fund_series)""",
         "fund caldt",

@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
-LAST_DAY = "DATE '2001-07-13'"
+HORIZON, FIRST_DAY = "DATE '2001-12-31'", "DATE '1995-01-01'"
 
 
 def _day(ts: str) -> str:
-    return f"LEAST(CAST({ts} AS DATE), {LAST_DAY})"
+    return f"CAST({ts} AS DATE)"
+
+
+def _booked(ts: str, key: str) -> str:
+    start = f"CASE {key} % 4 WHEN 1 THEN 2 WHEN 3 THEN 4 ELSE 1 END"
+    return f"({_day(ts)} - CAST((isodow({_day(ts)}) - ({start}) + 7) % 7 AS INTEGER))"
+
+
+def _market(days: str) -> str:
+    return f"(({days}) * 37 % 101 - 50)"
+
+
+_DAYS = f"(caldt - {FIRST_DAY}) + 1000"
 
 
 def _fund(key: str) -> str:
@@ -35,7 +47,8 @@ def _points(fraction: str) -> str:
 
 VIEWS: dict[str, str] = {
     "positions": f"""
-        SELECT {_day("l_shipdate")} AS caldt, {_fund("l_suppkey")} AS fund, {_ticker("l_partkey")} AS ticker,
+        SELECT {_booked("l_shipdate", "l_suppkey")} AS caldt, {_fund("l_suppkey")} AS fund,
+               {_ticker("l_partkey")} AS ticker,
                CASE WHEN l_returnflag = 'A' AND l_linenumber = 7 THEN 'OPT'
                     WHEN {_bucket("l_partkey")} = 1 THEN 'CASH' ELSE 'EQ' END AS asset_class,
                CASE WHEN {_bucket("l_partkey")} % 12 = 3 THEN -1 ELSE 1 END * (100 + l_quantity / 8) AS shares,
@@ -53,43 +66,49 @@ VIEWS: dict[str, str] = {
                {_price("o_custkey", "o_totalprice")} AS price_traded
         FROM orders""",
     "dividends": f"""
-        SELECT {_day("l_shipdate")} AS caldt, {_fund("l_suppkey")} AS fund, {_ticker("l_partkey")} AS ticker,
-               (year({_day("l_shipdate")}) * 4 + quarter({_day("l_shipdate")})) * 2 + l_linenumber % 2
-                   AS action_id,
+        SELECT caldt, fund, ticker, (year(caldt) * 4 + quarter(caldt)) * 2 + l_linenumber % 2 AS action_id,
                (10 + {_points("l_discount")}) / 64 AS gross_rate,
                (10 + {_points("l_discount")}) / 4 AS gross_amount
-        FROM lineitem WHERE l_returnflag = 'R'""",
+        FROM (SELECT {_booked("l_shipdate", "l_suppkey")} AS caldt, {_fund("l_suppkey")} AS fund,
+                     {_ticker("l_partkey")} AS ticker, l_linenumber, l_discount
+              FROM lineitem)""",
     "fund_cents": f"""
         SELECT {_day("o_orderdate")} AS caldt, {_fund("o_custkey")} AS fund,
                CAST(SUM({_cents("o_totalprice")}) AS BIGINT) AS s
         FROM orders GROUP BY 1, 2""",
     "day_cents": """
         SELECT caldt, CAST(SUM(s) AS BIGINT) AS s FROM fund_cents GROUP BY caldt""",
-    "delta_nav": """
+    "delta_nav": f"""
         SELECT caldt, fund, sv::DOUBLE AS starting_value,
-               (CASE WHEN s % 89 = 0 THEN sv ELSE sv + s % 20001 - 9900 END + dw)::DOUBLE AS ending_value,
+               (CASE WHEN s % 89 = 0 THEN sv
+                     ELSE sv + s % 20001 - 9900 + beta * ({_market(_DAYS)} - {_market(_DAYS + " - 1")}) END
+                + dw)::DOUBLE AS ending_value,
                dw::DOUBLE AS deposits_withdrawals
         FROM (SELECT *, CASE WHEN s % 97 = 0 THEN 0 ELSE 1000000 + s % 100000 END AS sv,
-                     CASE WHEN s % 11 = 0 THEN 5000 ELSE 0 END AS dw
+                     CASE WHEN s % 11 = 0 THEN 5000 ELSE 0 END AS dw,
+                     CASE fund WHEN 'grad' THEN 200 WHEN 'undergrad' THEN 250 WHEN 'quant' THEN 350
+                               ELSE 300 END AS beta
               FROM fund_cents)""",
-    "nav": """
+    "nav": f"""
         SELECT caldt, fund, (CASE WHEN s % 53 = 0 THEN 0 ELSE 900000 + s % 50000 END)::DOUBLE AS stock
-        FROM fund_cents""",
-    "bmk": """
-        SELECT caldt, 200 + (s % 500) / 64 AS ending_value FROM day_cents
+        FROM (SELECT {_booked("l_shipdate", "l_suppkey")} AS caldt, {_fund("l_suppkey")} AS fund,
+                     CAST(SUM({_cents("l_extendedprice")}) AS BIGINT) AS s
+              FROM lineitem GROUP BY 1, 2)""",
+    "bmk": f"""
+        SELECT caldt, 200 + {_market(_DAYS)} / 16 + (s % 32) / 64 AS ending_value FROM day_cents
         WHERE strftime(caldt, '%m-%d') NOT IN ('01-01', '07-04', '12-25')""",
     "risk_free_rate": """
         SELECT caldt, (100 + s % 100) / 1000000 AS rate FROM day_cents WHERE caldt <> last_day(caldt)""",
     "calendar": """
         SELECT caldt FROM day_cents WHERE isodow(caldt) <= 5""",
     "holding": f"""
-        SELECT {_fund("p_partkey")} AS fund, {_ticker("p_partkey")} AS ticker,
-               MAX(CAST({LAST_DAY} + p_size AS DATE)) AS horizon_date, MAX(p_retailprice) AS target_price
-        FROM part WHERE p_type <> 'SMALL' GROUP BY 1, 2""",
+        SELECT {_fund("p_partkey")} AS fund, {_ticker("(p_partkey - p_partkey % 20)")} AS ticker,
+               MAX(CAST({HORIZON} + p_size AS DATE)) AS horizon_date, MAX(p_retailprice) AS target_price
+        FROM part GROUP BY 1, 2""",
     "portfolio": f"""
         SELECT {_fund("c_custkey")} AS fund, (5 + CAST(SUM(c_nationkey) AS BIGINT) % 10) / 100 AS benchmark_return,
                (2 + COUNT(*) % 10) / 100 AS target_tracking_error
-        FROM customer GROUP BY 1 HAVING fund <> 'quant'""",
+        FROM customer GROUP BY 1""",
     "logs": f"""
         SELECT CAST(ts AS DATE) AS caldt, {_fund("user_id")} AS fund, event_id,
                event_type AS status, value AS elapsed

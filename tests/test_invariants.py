@@ -9,6 +9,7 @@ import pytest
 import __spark_entry__ as contract
 from fundperf import plans
 from fundperf.constants import REPORT_FUNDS
+from fundperf.operators import latest_snapshot
 from fundperf.sources import demo_tables
 from tests.frames import rows_of
 
@@ -75,3 +76,19 @@ def test_holdings_report_lists_current_tickers_only(tables):
     current = set(rows_of(plans.current_tickers(tables)))
     lines = rows_of(plans.holdings_performance(tables, START, END), "fund", "ticker")
     assert len(lines) == len(set(lines)) and set(lines) <= current
+
+
+def test_funds_end_on_different_days(tables):
+    """Otherwise one global last day would pass for the last day of each fund."""
+    last = {r["fund"]: r[1] for r in tables["positions"].groupBy("fund").agg({"caldt": "max"}).collect()}
+    assert len(set(last.values())) >= 3
+    latest = tables["positions"].agg({"caldt": "max"}).first()[0]
+    assert tables["positions"].filter(tables["positions"].caldt == latest).count() < latest_rows(tables)
+
+
+def latest_rows(tables):
+    return latest_snapshot(tables["positions"]).count()
+
+
+def test_funds_move_with_the_benchmark(by_fund):
+    assert all(row["beta"] > 0.15 for row in by_fund.values())

@@ -26,7 +26,7 @@ def no_automatic_broadcast(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(contract.LIBRARY))
 def test_no_nested_loops_and_no_python(spark, name):
     plan = plan_of(contract.queries()[name](spark, SMALL))
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "MapInPandas"):
