@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
-
+from fundperf.constants import REPORT_FUNDS
 from fundperf.plans.reports import write_annual_report
-from fundperf.sources import jdbc_partitioning, jdbc_tables, parquet_tables
+from fundperf.session import session
+from fundperf.sources import jdbc_tables, parquet_tables
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -17,14 +17,21 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--start", default="2024-05-01")
     parser.add_argument("--end", default="2025-05-01")
     parser.add_argument("--jdbc-partitions", type=int, default=16)
+    parser.add_argument("--history-start", help="first day of the tables; asked of the database if not given")
+    parser.add_argument("--history-end", help="last day of the tables")
+    parser.add_argument("--funds", nargs="+", default=list(REPORT_FUNDS), help="funds with a line of their own")
+    parser.add_argument("--rf-fill", choices=["reference", "previous"], default="reference")
+    parser.add_argument("--run", help="subfolder of this run")
     args = parser.parse_args(argv)
-    spark = SparkSession.builder.appName("fundperf").getOrCreate()
+    if bool(args.history_start) != bool(args.history_end):
+        parser.error("--history-start and --history-end belong together")
+    spark = session("fundperf")
     if args.tables:
         tables = parquet_tables(spark, args.tables)
     else:
-        ranges = jdbc_partitioning(args.start, args.end, args.jdbc_partitions)
-        tables = jdbc_tables(spark, partitioning=ranges)
-    write_annual_report(tables, args.start, args.end, args.out)
+        history = (args.history_start, args.history_end) if args.history_start else None
+        tables = jdbc_tables(spark, partitions=args.jdbc_partitions, history=history)
+    write_annual_report(tables, args.start, args.end, args.out, args.funds, args.rf_fill, args.run)
 
 
 if __name__ == "__main__":

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # A side is broadcast by hint only when its row count is known to stay below this.
 # The rows concerned are a date, a fund name and one or two doubles.
-BROADCAST_ROW_LIMIT = 1_000_000
+BROADCAST_ROW_LIMIT = 100_000
 
 
 def as_date(value: str | date) -> date:

@@ -18,10 +18,10 @@ def dividends_by_action(dividends: DataFrame) -> DataFrame:
     """One row per corporate action, on its first day, with average rate and amount."""
     return dividends.groupBy(*ACTION_KEY).agg(
         F.min("caldt").alias("caldt"),
-        F.avg("gross_rate").alias("div_gross_rate"),
-        F.avg("gross_amount").alias("div_gross_amount"),
+        F.avg("gross_rate").alias("action_rate"),
+        F.avg("gross_amount").alias("action_amount"),
     )
 
 
 def dividends_per_fund_day(actions: DataFrame) -> DataFrame:
-    return actions.groupBy("caldt", "fund").agg(F.sum("div_gross_amount").alias("dividends"))
+    return actions.groupBy("caldt", "fund").agg(F.sum("action_amount").alias("dividends"))

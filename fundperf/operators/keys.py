@@ -45,13 +45,23 @@ def keyed_upsert(
     Unmatched updates become new rows, unmatched target rows stay. A key given twice in one
     batch fails the job.
 
-    Both joins against ``target`` have the batch on the build side, so a batch whose
-    ``row_bound`` is small is broadcast and the target is not shuffled.
+    With a ``row_bound`` both joins against ``target`` have the batch on the build side, so a small
+    batch is broadcast and the target is not shuffled. Without one, a single full outer join reads
+    the target once.
     """
     keys, set_cols = list(keys), list(set_cols)
     given = updates.select(*keys, *set_cols).withColumn("_given", F.lit(True))
     batch = broadcast_within(require_unique(given, keys, "upsert batch"), row_bound)
     renamed = batch.withColumnsRenamed({name: f"_new_{name}" for name in set_cols})
+    if row_bound is None:
+        return target.join(renamed, keys, "full").select(
+            *[
+                F.when(F.col("_given"), F.col(f"_new_{name}")).otherwise(F.col(name)).alias(name)
+                if name in set_cols
+                else F.col(name)
+                for name in target.columns
+            ]
+        )
     kept = target.join(renamed, keys, "left").select(
         *[
             F.when(F.col("_given"), F.col(f"_new_{name}")).otherwise(F.col(name)).alias(name)

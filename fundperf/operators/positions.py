@@ -50,7 +50,7 @@ def net_trades(trades: DataFrame) -> DataFrame:
         _eligible_trades(trades)
         .groupBy(*POSITION_KEY)
         .agg(
-            F.expr(f"{_sign('sum(shares_traded)')} AS trade_type"),
+            F.expr(f"{_sign('sum(shares_traded)')} AS trade_sign"),
             F.sum("shares_traded").alias("shares_traded"),
             F.avg("price_traded").alias("trade_price"),
         )
@@ -93,7 +93,7 @@ def position_trade_merge(positions: DataFrame, trades: DataFrame, actions: DataF
             "shares_1",
             "price_1",
             "fx_rate_1",
-            f"CASE WHEN net <> 0 THEN {_sign('net')} END AS trade_type",
+            f"CASE WHEN net <> 0 THEN {_sign('net')} END AS trade_sign",
             "CASE WHEN net <> 0 THEN net ELSE 0D END AS shares_traded",
             "CASE WHEN net <> 0 THEN price_traded END AS trade_price",
         )
@@ -101,8 +101,8 @@ def position_trade_merge(positions: DataFrame, trades: DataFrame, actions: DataF
     paid = actions.selectExpr(
         *[f"{name} AS _{name}" for name in POSITION_KEY],
         "action_id",
-        "div_gross_rate AS _rate",
-        "div_gross_amount AS _amount",
+        "action_rate AS _rate",
+        "action_amount AS _amount",
     )
     same_key = " AND ".join(f"{name} = _{name}" for name in POSITION_KEY)
     return merged.join(paid, F.expr(f"side IS NOT NULL AND {same_key}"), "left").selectExpr(
@@ -111,11 +111,11 @@ def position_trade_merge(positions: DataFrame, trades: DataFrame, actions: DataF
         "shares_1",
         "price_1",
         "fx_rate_1",
-        "trade_type",
+        "trade_sign",
         "shares_traded",
         "trade_price",
         "action_id",
-        "coalesce(_rate, 0D) AS div_gross_rate",
+        "coalesce(_rate, 0D) AS action_rate",
         "coalesce(_amount, 0D) AS dividends",
     )
 
@@ -150,10 +150,10 @@ def lagged_position_state(merged: DataFrame) -> DataFrame:
         "coalesce(price_1, trade_price) AS price_1",
         "coalesce(previous_fx_rate, fx_rate_1) AS fx_rate_0",
         "coalesce(fx_rate_1, previous_fx_rate) AS fx_rate_1",
-        "trade_type",
+        "trade_sign",
         "shares_traded",
         "trade_price",
-        "div_gross_rate",
+        "action_rate",
         "dividends",
     )
 
@@ -175,7 +175,7 @@ def _return(after: str) -> str:
 
 def position_returns(values: DataFrame, nav: DataFrame) -> DataFrame:
     """Weight in the fund's stock value, price return and dividend-inclusive return."""
-    stock = nav.filter("stock <> 0").selectExpr("caldt", "fund", "stock AS total_stock_1")
+    stock = nav.filter("stock <> 0").selectExpr("caldt", "fund", "stock AS stock_value")
     return values.join(stock, ["caldt", "fund"], "left").selectExpr(
         *POSITION_KEY,
         "action_id",
@@ -184,9 +184,9 @@ def position_returns(values: DataFrame, nav: DataFrame) -> DataFrame:
         "price_1",
         "fx_rate_1",
         "value_1",
-        "total_stock_1",
-        "try_divide(value_1, total_stock_1) AS weight_1",
-        "div_gross_rate",
+        "stock_value",
+        "try_divide(value_1, stock_value) AS weight_after",
+        "action_rate",
         "dividends",
         f"{_return('value_1')} AS return",
         f"{_return('(value_1 + dividends)')} AS div_return",

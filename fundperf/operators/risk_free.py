@@ -36,7 +36,20 @@ def risk_free_fill(
     by = f"PARTITION BY {', '.join(partition)}" if partition else ""
     order = ", ".join(["caldt", *tie_break])
     if rf_fill == "reference":
-        filled = f"coalesce(_rf, lag(_rf) OVER ({by} ORDER BY _rf_day ASC NULLS LAST, {order}))"
+        # Days with a rate, by date, then days without one: the row before the first of these is the last day
+        # with a rate, and the row before a day with a NULL rate is the day with a rate before it. Stated
+        # without sorting by _rf_day, so the partition's order by date serves all windows.
+        place = f"struct({order})"
+        first_missing = f"min(CASE WHEN _rf_day IS NULL THEN {place} END) OVER ({by})"
+        latest = f"max_by(_rf, CASE WHEN _rf_day IS NOT NULL THEN {place} END) OVER ({by})"
+        before = (
+            f"last(CASE WHEN _rf_day IS NOT NULL THEN struct(_rf) END, true) "
+            f"OVER ({by} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)._rf"
+        )
+        filled = (
+            f"CASE WHEN _rf_day IS NOT NULL THEN coalesce(_rf, {before}) "
+            f"WHEN {place} <=> {first_missing} THEN {latest} END"
+        )
     elif rf_fill == "previous":
         filled = f"last(_rf, true) OVER ({by} ORDER BY {order} ROWS UNBOUNDED PRECEDING)"
     else:

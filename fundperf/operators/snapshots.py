@@ -45,8 +45,14 @@ def ordered(df: DataFrame, *by: str | Column) -> DataFrame:
     """Globally sorted rows.
 
     A range sort samples its input by running it. Rebalancing the finished rows first makes it
-    sample shuffle files instead of computing everything behind them twice. The task number as
-    last key lets rows with equal keys, such as one busy day, spread over several ranges.
+    sample shuffle files instead of computing everything behind them twice. A hash of the row as
+    last key lets rows with equal keys, such as one busy day, spread over several ranges; being
+    deterministic, it lets conditions on the result move down to the files.
     """
-    spread = df.hint("rebalance").withColumn("_task", F.spark_partition_id())
-    return spread.orderBy(*by, "_task").drop("_task")
+    spread = df.withColumn("_spread", F.xxhash64(*df.columns)).hint("rebalance")
+    return spread.orderBy(*by, "_spread").drop("_spread")
+
+
+def ordered_few(df: DataFrame, *by: str | Column) -> DataFrame:
+    """Sorted rows of a result that is known to be small, such as one row per fund, in one partition."""
+    return df.repartition(1).sortWithinPartitions(*by)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fundperf.constants import HOLDING_KEY, MONEY_MARKET_TICKER, POSITION_KEY
 from fundperf.functions.bounds import broadcast_within, day_span, in_window
 from fundperf.operators.dividends import dividends_by_action
+from fundperf.operators.keys import require_unique
 from fundperf.operators.positions import (
     lagged_position_state,
     position_returns,
@@ -49,16 +50,18 @@ def holding_frame(
     tickers: Sequence[str] | None = None,
     keep: Column | None = None,
     rf_fill: str = "reference",
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """Holding series with the dividend action behind each row.
 
-    Fund and ticker conditions go to the base tables: the optimizer does not push them below
-    the merge. Previous states come from the whole history; the window cut follows them.
+    Fund and ticker conditions, and the (fund, ticker) rows of ``only``, go to the base tables: the
+    optimizer does not push them below the merge. Previous states come from the whole history; the window cut follows them.
     """
 
     def scoped(name: str) -> DataFrame:
         df = for_funds(tables[name], funds, tickers)
-        return df if keep is None else df.filter(keep)
+        df = df if keep is None else df.filter(keep)
+        return df if only is None else df.join(only, list(HOLDING_KEY), "left_semi")
 
     merged = position_trade_merge(
         scoped("positions"), scoped("trades"), dividends_by_action(scoped("dividends"))
@@ -70,7 +73,9 @@ def holding_frame(
         tables["calendar"].filter(window),
         days,
     )
-    nav = for_funds(tables["nav"], funds).filter(window)
+    nav = require_unique(
+        for_funds(tables["nav"], funds).filter(window).select("caldt", "fund", "stock"), ["caldt", "fund"], "nav"
+    )
     returns = position_returns(values, nav if funds is None else broadcast_within(nav, days * len(funds)))
     filled = risk_free_fill(
         returns,
@@ -89,8 +94,8 @@ def holding_frame(
         "shares_1 AS shares",
         "fx_rate_1 AS fx_rate",
         "value_1 AS value",
-        "weight_1 AS weight",
-        "try_divide(div_gross_rate, price_1) AS dividend_yield",
+        "weight_after AS weight",
+        "try_divide(action_rate, price_1) AS dividend_yield",
         "dividends",
         "return",
         "div_return",
@@ -124,11 +129,11 @@ def reported_holdings(
     end: str | date,
     funds: Sequence[str] | None = None,
     rf_fill: str = "reference",
+    only: DataFrame | None = None,
 ) -> DataFrame:
-    """Holding frame of all tickers but the money market fund."""
-    return holding_frame(
-        tables, start, end, funds, keep=F.col("ticker") != MONEY_MARKET_TICKER, rf_fill=rf_fill
-    )
+    """Holding frame of all tickers but the money market fund, or of those in ``only``."""
+    keep = F.col("ticker") != MONEY_MARKET_TICKER
+    return holding_frame(tables, start, end, funds, keep=keep, rf_fill=rf_fill, only=only)
 
 
 def all_holdings_daily_returns(

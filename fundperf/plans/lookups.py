@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fundperf.constants import EXCLUDED_ASSET_CLASSES, RECENT_LOG_DAYS, REPORT_FUNDS
-from fundperf.functions.bounds import as_date, in_window
+from fundperf.functions.bounds import as_date, broadcast_within, in_window
 from fundperf.operators.dividends import dividends_by_action
-from fundperf.operators.keys import keyed_upsert
+from fundperf.operators.keys import keyed_upsert, require_unique
 from fundperf.operators.snapshots import for_funds, latest_snapshot, ordered
 from fundperf.plans.returns import TablesLike
 from fundperf.sources.schemas import KEYS, SCHEMAS
@@ -55,8 +55,8 @@ def dividend_history(
         "caldt",
         "ticker",
         "action_id",
-        "div_gross_rate AS gross_rate",
-        "div_gross_amount AS gross_amount",
+        "action_rate AS gross_rate",
+        "action_amount AS gross_amount",
     )
     return ordered(actions, "caldt")
 
@@ -85,7 +85,7 @@ def trade_history(
 def recent_logs(tables: TablesLike, days: int = RECENT_LOG_DAYS) -> DataFrame:
     """All log rows of the latest distinct days."""
     latest = tables["logs"].select("caldt").distinct().orderBy(F.desc("caldt")).limit(days)
-    return ordered(tables["logs"].join(F.broadcast(latest), "caldt", "left_semi"), F.desc("caldt"))
+    return ordered(tables["logs"].join(broadcast_within(latest, days), "caldt", "left_semi"), F.desc("caldt"))
 
 
 def logs_by_fund(
@@ -104,8 +104,11 @@ def current_holdings(tables: TablesLike, funds: Sequence[str] | None = None) ->
     Positions without a stock value on that day drop out, those without targets stay.
     """
     held = latest_snapshot(tables["positions"], funds)
+    nav = require_unique(
+        for_funds(tables["nav"], funds).select("caldt", "fund", "stock"), ["caldt", "fund"], "nav"
+    )
     return (
-        held.join(for_funds(tables["nav"], funds), ["caldt", "fund"])
+        held.join(nav, ["caldt", "fund"])
         .join(for_funds(tables["holding"], funds), ["fund", "ticker"], "left")
         .selectExpr(
             "fund",

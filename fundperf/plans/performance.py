@@ -21,7 +21,7 @@ from fundperf.functions.stats import (
 )
 from fundperf.functions.text import titled
 from fundperf.operators.benchmark import benchmark_join
-from fundperf.operators.snapshots import ordered
+from fundperf.operators.snapshots import ordered, ordered_few
 from fundperf.plans.holdings import reported_holdings
 from fundperf.plans.lookups import current_ticker_rows
 from fundperf.plans.returns import (
@@ -57,6 +57,24 @@ def with_benchmark(series: DataFrame, benchmark: DataFrame) -> DataFrame:
     return _or_zero(benchmark_join(series, benchmark), ZERO_FILLED)
 
 
+# Benchmark return and regressor by kind of benchmark, and how alpha is taken.
+BENCHMARKS = {"price": ("return_bmk", "xs_return_bmk"), "dividends": ("div_return", "xs_div_return")}
+ALPHAS = ("intercept", "period")
+
+
+def _benchmark_columns(benchmark: str) -> tuple[Column, Column]:
+    if benchmark not in BENCHMARKS:
+        raise ValueError(f"unknown benchmark: {benchmark!r}")
+    returns, regressor = BENCHMARKS[benchmark]
+    return F.col(returns), F.col(regressor)
+
+
+def _alpha(kind: str) -> Column:
+    if kind not in ALPHAS:
+        raise ValueError(f"unknown alpha: {kind!r}")
+    return F.col("daily_alpha") if kind == "intercept" else _alpha_of_period()
+
+
 def _fund_aggregates(bmk_return: Column, regressor: Column) -> list[Column]:
     day = F.col("caldt")
     xs = F.col("xs_return")
@@ -86,37 +104,59 @@ def _alpha_of_period() -> Column:
     return period_alpha(F.col("total_return"), F.col("total_return_bmk"), F.col("beta"))
 
 
-def total_performance(tables: TablesLike, start: str | date, end: str | date) -> DataFrame:
-    """All funds as one line: dividend-inclusive benchmark, daily least-squares alpha."""
-    series = with_benchmark(total_daily_returns(tables, start, end), benchmark_daily_returns(tables, start, end))
-    stats = series.agg(*_fund_aggregates(F.col("div_return"), F.col("xs_div_return")))
-    return _with_ratios(stats, F.col("daily_alpha")).select(*TOTAL_MEASURES)
+def total_performance(
+    tables: TablesLike,
+    start: str | date,
+    end: str | date,
+    rf_fill: str = "reference",
+    alpha: str = "intercept",
+    benchmark: str = "dividends",
+) -> DataFrame:
+    """All funds as one line; by default against the dividend-inclusive benchmark, with a daily alpha."""
+    series = with_benchmark(
+        total_daily_returns(tables, start, end, rf_fill), benchmark_daily_returns(tables, start, end, rf_fill)
+    )
+    stats = series.agg(*_fund_aggregates(*_benchmark_columns(benchmark)))
+    return _with_ratios(stats, _alpha(alpha)).select(*TOTAL_MEASURES)
 
 
 def fund_performance(
-    tables: TablesLike, start: str | date, end: str | date, funds: Sequence[str] | None = None
+    tables: TablesLike,
+    start: str | date,
+    end: str | date,
+    funds: Sequence[str] | None = None,
+    rf_fill: str = "reference",
+    alpha: str = "period",
+    benchmark: str = "price",
 ) -> DataFrame:
-    """One line per fund: price benchmark, alpha over the whole period."""
+    """One line per fund; by default against the price benchmark, with an alpha over the whole period."""
     series = with_benchmark(
-        fund_daily_returns(tables, start, end, funds), benchmark_daily_returns(tables, start, end)
-    )
-    stats = series.groupBy("fund").agg(
-        *_fund_aggregates(F.col("return_bmk"), F.col("xs_return_bmk"))
+        fund_daily_returns(tables, start, end, funds, rf_fill), benchmark_daily_returns(tables, start, end, rf_fill)
     )
-    return _with_ratios(stats, _alpha_of_period()).select("fund", *FUND_MEASURES)
+    stats = series.groupBy("fund").agg(*_fund_aggregates(*_benchmark_columns(benchmark)))
+    return _with_ratios(stats, _alpha(alpha)).select("fund", *FUND_MEASURES)
 
 
 def performance_report(
-    tables: TablesLike, start: str | date, end: str | date, funds: Sequence[str] = REPORT_FUNDS
+    tables: TablesLike,
+    start: str | date,
+    end: str | date,
+    funds: Sequence[str] = REPORT_FUNDS,
+    rf_fill: str = "reference",
+    fund_series: DataFrame | None = None,
+    benchmark_series: DataFrame | None = None,
 ) -> DataFrame:
     """The all-funds line and one line per fund, by title.
 
     Both kinds of series share one benchmark join and one aggregation; the line decides
-    which benchmark return and which alpha applies.
+    which benchmark return and which alpha applies. Series that are stored already can be given.
     """
-    total = total_daily_returns(tables, start, end).withColumn("fund", F.lit(TOTAL_LABEL))
-    lines = fund_daily_returns(tables, start, end, funds).unionByName(total)
-    series = with_benchmark(lines, benchmark_daily_returns(tables, start, end))
+    total = total_daily_returns(tables, start, end, rf_fill).withColumn("fund", F.lit(TOTAL_LABEL))
+    if fund_series is None:
+        fund_series = fund_daily_returns(tables, start, end, funds, rf_fill)
+    if benchmark_series is None:
+        benchmark_series = benchmark_daily_returns(tables, start, end, rf_fill)
+    series = with_benchmark(fund_series.unionByName(total), benchmark_series)
     is_total = F.col("fund") == TOTAL_LABEL
     stats = series.groupBy("fund").agg(
         *_fund_aggregates(
@@ -126,7 +166,7 @@ def performance_report(
     )
     alpha = F.when(is_total, F.col("daily_alpha")).otherwise(_alpha_of_period())
     report = _with_ratios(stats, alpha).select(titled(F.col("fund")).alias("fund"), *REPORT_MEASURES)
-    return ordered(report, "fund")
+    return ordered_few(report, "fund")
 
 
 def holdings_performance(
@@ -134,12 +174,18 @@ def holdings_performance(
     start: str | date,
     end: str | date,
     funds: Sequence[str] | None = REPORT_FUNDS,
+    rf_fill: str = "reference",
+    benchmark_series: DataFrame | None = None,
 ) -> DataFrame:
-    """One line per currently held ticker: dividend-inclusive on both sides, alpha over the period."""
-    holdings = reported_holdings(tables, start, end, funds)
-    held = holdings.join(current_ticker_rows(tables, funds).distinct(), list(HOLDING_KEY), "left_semi")
-    benchmark = benchmark_daily_returns(tables, start, end)
-    joined = benchmark_join(held, benchmark, ("div_return", "xs_div_return"))
+    """One line per currently held ticker: dividend-inclusive on both sides, alpha over the period.
+
+    Holdings that were sold are left out at the base tables, before any aggregation.
+    """
+    current = current_ticker_rows(tables, funds).distinct()
+    held = reported_holdings(tables, start, end, funds, rf_fill, only=current)
+    if benchmark_series is None:
+        benchmark_series = benchmark_daily_returns(tables, start, end, rf_fill)
+    joined = benchmark_join(held, benchmark_series, ("div_return", "xs_div_return"))
     series = _or_zero(joined, ("xs_div_return", "xs_div_return_bmk"))
     day, returns, regressor = F.col("caldt"), F.col("div_return"), F.col("xs_div_return_bmk")
     stats = series.groupBy(*HOLDING_KEY).agg(

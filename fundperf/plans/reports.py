@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fundperf.constants import REPORT_FUNDS
+from fundperf.functions.bounds import as_date
 from fundperf.functions.text import as_number, as_percent, header
+from fundperf.operators.snapshots import ordered_few
 from fundperf.plans.performance import holdings_performance, performance_report
-from fundperf.plans.returns import TablesLike
+from fundperf.plans.returns import TablesLike, benchmark_frame, fund_daily_returns
 from fundperf.plans.series import combined_return_series, fund_return_series, total_return_series
 from fundperf.sources.sinks import write_report, write_series
 
@@ -30,18 +32,33 @@ def formatted(df: DataFrame, percent: Sequence[str], number: Sequence[str]) -> D
     return df.select(*[shown(name).alias(header(name)) for name in df.columns])
 
 
+def _formatted_overall(report: DataFrame) -> DataFrame:
+    return formatted(report, OVERALL_PERCENT, OVERALL_NUMBER)
+
+
+def _formatted_holdings(report: DataFrame) -> DataFrame:
+    named = report.withColumn("fund", F.initcap(F.replace("fund", F.lit("_"), F.lit(" "))))
+    return formatted(named, HOLDINGS_PERCENT, HOLDINGS_NUMBER)
+
+
 def performance_report_formatted(
-    tables: TablesLike, start: str | date, end: str | date, funds: Sequence[str] = REPORT_FUNDS
+    tables: TablesLike,
+    start: str | date,
+    end: str | date,
+    funds: Sequence[str] = REPORT_FUNDS,
+    rf_fill: str = "reference",
 ) -> DataFrame:
-    return formatted(performance_report(tables, start, end, funds), OVERALL_PERCENT, OVERALL_NUMBER)
+    return _formatted_overall(performance_report(tables, start, end, funds, rf_fill))
 
 
 def holdings_report_formatted(
-    tables: TablesLike, start: str | date, end: str | date, funds: Sequence[str] | None = REPORT_FUNDS
+    tables: TablesLike,
+    start: str | date,
+    end: str | date,
+    funds: Sequence[str] | None = REPORT_FUNDS,
+    rf_fill: str = "reference",
 ) -> DataFrame:
-    report = holdings_performance(tables, start, end, funds)
-    named = report.withColumn("fund", F.initcap(F.replace("fund", F.lit("_"), F.lit(" "))))
-    return formatted(named, HOLDINGS_PERCENT, HOLDINGS_NUMBER)
+    return _formatted_holdings(holdings_performance(tables, start, end, funds, rf_fill))
 
 
 def write_annual_report(
@@ -50,18 +67,45 @@ def write_annual_report(
     end: str | date,
     path: str,
     funds: Sequence[str] = REPORT_FUNDS,
-) -> None:
-    """Write both reports and the three series below a new folder, each as one Spark job.
+    rf_fill: str = "reference",
+    run: str | None = None,
+) -> str:
+    """Write both reports, as measures and as printed, and the series; returns the folder.
+
+    The daily series of the funds and of the benchmark are computed once, stored, and read by whatever
+    builds on them, as are the measures that the printed reports show. The measures carry the period.
+    ``run`` names a subfolder, so that a failed run can be repeated beside its remains.
 
     Volatility and tracking error are annualised, weights are those of the last day; all other
     values are period totals.
     """
-    write_report(performance_report_formatted(tables, start, end, funds), f"{path}/overall_performance")
-    write_report(
-        holdings_report_formatted(tables, start, end, funds),
-        f"{path}/holdings_performance",
-        partition_by="Fund",
+    folder = f"{path}/{run}" if run else path
+    spark = tables["delta_nav"].sparkSession
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        write_report(df, f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    def with_period(df: DataFrame) -> DataFrame:
+        return df.withColumns({"period_start": F.lit(as_date(start)), "period_end": F.lit(as_date(end))})
+
+    daily = stored(fund_daily_returns(tables, start, end, funds, rf_fill), "fund_daily_returns")
+    levels = stored(benchmark_frame(tables, start, end, rf_fill), "benchmark_daily_returns")
+    returns = levels.drop("action_id")
+    overall = stored(
+        with_period(performance_report(tables, start, end, funds, rf_fill, daily, returns)), "overall_measures"
+    )
+    holdings = stored(
+        with_period(holdings_performance(tables, start, end, funds, rf_fill, returns)), "holdings_measures"
+    )
+    period = ("period_start", "period_end")
+    write_report(_formatted_overall(ordered_few(overall, "fund").drop(*period)), f"{folder}/overall_performance")
+    write_report(_formatted_holdings(holdings.drop(*period)), f"{folder}/holdings_performance", partition_by="Fund")
+    write_series(total_return_series(tables, start, end, rf_fill, levels), f"{folder}/total_return_series")
+    write_series(
+        fund_return_series(tables, start, end, funds, rf_fill, daily, levels), f"{folder}/fund_return_series"
+    )
+    write_series(
+        combined_return_series(tables, start, end, funds, rf_fill, daily), f"{folder}/combined_return_series"
     )
-    write_series(total_return_series(tables, start, end), f"{path}/total_return_series")
-    write_series(fund_return_series(tables, start, end, funds), f"{path}/fund_return_series")
-    write_series(combined_return_series(tables, start, end, funds), f"{path}/combined_return_series")
+    return folder

@@ -54,14 +54,22 @@ def _with_dividends(moves: DataFrame, paid: DataFrame, keys: Sequence[str]) -> D
     )
 
 
+def _fund_values(
+    tables: TablesLike, start: str | date, end: str | date, funds: Sequence[str] | None = None
+) -> DataFrame:
+    """The window's delta_nav; a day given twice for a fund fails the job."""
+    rows = for_funds(tables["delta_nav"], funds).filter(in_window(start, end))
+    values = rows.select("caldt", "fund", "starting_value", "ending_value", "deposits_withdrawals")
+    return require_unique(values, ["caldt", "fund"], "delta_nav")
+
+
 def total_daily_returns(
     tables: TablesLike, start: str | date, end: str | date, rf_fill: str = "reference"
 ) -> DataFrame:
     """All funds as one series. Deposits and withdrawals are not taken out here."""
     window = in_window(start, end)
     values = (
-        tables["delta_nav"]
-        .filter(window)
+        _fund_values(tables, start, end)
         .groupBy("caldt")
         .agg(F.sum("starting_value").alias("starting_value"), F.sum("ending_value").alias("ending_value"))
     )
@@ -81,10 +89,8 @@ def fund_daily_returns(
 ) -> DataFrame:
     """Each fund's series, net of deposits and withdrawals; all funds in one pass."""
     window = in_window(start, end)
-    values = (
-        for_funds(tables["delta_nav"], funds)
-        .filter(window)
-        .selectExpr("caldt", "fund", "starting_value", "ending_value - deposits_withdrawals AS ending_value")
+    values = _fund_values(tables, start, end, funds).selectExpr(
+        "caldt", "fund", "starting_value", "ending_value - deposits_withdrawals AS ending_value"
     )
     # The first day of an action may lie before the window, so the cut follows the grouping.
     actions = dividends_by_action(for_funds(tables["dividends"], funds))
@@ -106,7 +112,7 @@ def benchmark_frame(
     )
     actions = dividends_by_action(
         for_funds(tables["dividends"], [BENCHMARK_PROXY_FUND], [BENCHMARK_PROXY_TICKER])
-    ).selectExpr("caldt", "action_id", "div_gross_rate AS dividends")
+    ).selectExpr("caldt", "action_id", "action_rate AS dividends")
     # The previous level comes from the whole history, one row per day; the window cut follows.
     moves = (
         levels.selectExpr("*", "lag(ending_value) OVER (ORDER BY caldt) AS starting_value")

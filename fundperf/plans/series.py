@@ -36,34 +36,56 @@ def cumulative_return(
     return series.withColumn(name, running_return(F.col(column), window))
 
 
-def _with_benchmark_line(
-    series: DataFrame, tables: TablesLike, start: str | date, end: str | date, partition: Sequence[str]
-) -> DataFrame:
+def _with_benchmark_line(series: DataFrame, benchmark: DataFrame, partition: Sequence[str]) -> DataFrame:
     """Fund line and benchmark line; the benchmark pays nothing on days without a level."""
-    joined = benchmark_join(series, benchmark_frame(tables, start, end), ("div_return", "action_id"))
+    joined = benchmark_join(series, benchmark, ("div_return", "action_id"))
     filled = joined.withColumn("div_return", F.coalesce("div_return", F.lit(0.0)))
-    for column, name in (("return", "cummulative_return"), ("div_return", "cummulative_return_bmk")):
+    for column, name in (("return", "cumulative_return"), ("div_return", "cumulative_return_bmk")):
         filled = cumulative_return(filled, column, name, partition, ["action_id"])
         filled = filled.withColumn(name, F.col(name) * 100.0)
-    return filled.select(*partition, "caldt", "cummulative_return", "cummulative_return_bmk")
+    return filled.select(*partition, "caldt", "cumulative_return", "cumulative_return_bmk")
 
 
-def total_return_series(tables: TablesLike, start: str | date, end: str | date) -> DataFrame:
-    return _with_benchmark_line(total_daily_returns(tables, start, end), tables, start, end, [])
+def total_return_series(
+    tables: TablesLike,
+    start: str | date,
+    end: str | date,
+    rf_fill: str = "reference",
+    benchmark: DataFrame | None = None,
+) -> DataFrame:
+    """All funds together; a stored ``benchmark_frame`` can be given."""
+    if benchmark is None:
+        benchmark = benchmark_frame(tables, start, end, rf_fill)
+    return _with_benchmark_line(total_daily_returns(tables, start, end, rf_fill), benchmark, [])
 
 
 def fund_return_series(
-    tables: TablesLike, start: str | date, end: str | date, funds: Sequence[str] | None = REPORT_FUNDS
+    tables: TablesLike,
+    start: str | date,
+    end: str | date,
+    funds: Sequence[str] | None = REPORT_FUNDS,
+    rf_fill: str = "reference",
+    series: DataFrame | None = None,
+    benchmark: DataFrame | None = None,
 ) -> DataFrame:
-    return _with_benchmark_line(
-        fund_daily_returns(tables, start, end, funds), tables, start, end, ["fund"]
-    )
+    """Each fund; stored ``fund_daily_returns`` and a stored ``benchmark_frame`` can be given."""
+    if series is None:
+        series = fund_daily_returns(tables, start, end, funds, rf_fill)
+    if benchmark is None:
+        benchmark = benchmark_frame(tables, start, end, rf_fill)
+    return _with_benchmark_line(series, benchmark, ["fund"])
 
 
 def combined_return_series(
-    tables: TablesLike, start: str | date, end: str | date, funds: Sequence[str] | None = REPORT_FUNDS
+    tables: TablesLike,
+    start: str | date,
+    end: str | date,
+    funds: Sequence[str] | None = REPORT_FUNDS,
+    rf_fill: str = "reference",
+    series: DataFrame | None = None,
 ) -> DataFrame:
-    series = cumulative_return(
-        fund_daily_returns(tables, start, end, funds), "return", "cummulative_return", ["fund"]
-    )
-    return series.select("fund", "caldt", (F.col("cummulative_return") * 100.0).alias("cummulative_return"))
+    """The funds' own lines in one frame."""
+    if series is None:
+        series = fund_daily_returns(tables, start, end, funds, rf_fill)
+    lines = cumulative_return(series, "return", "cumulative_return", ["fund"])
+    return lines.select("fund", "caldt", (F.col("cumulative_return") * 100.0).alias("cumulative_return"))

@@ -43,14 +43,25 @@ def load_table(
 
 
 def parquet_tables(spark: SparkSession, root: str) -> Tables:
-    """All domain tables as ``<root>/<table>`` Parquet folders or ``.parquet`` files."""
+    """All domain tables as ``<root>/<table>`` Parquet folders or ``.parquet`` files, not both of one table."""
 
     def build(name: str) -> DataFrame:
-        return load_table(spark, name, f"{root.rstrip('/')}/{name}{{,.parquet}}")
+        pattern = f"{root.rstrip('/')}/{name}{{,.parquet}}"
+        found = _matches(spark, pattern)
+        if len(found) > 1:
+            raise ValueError(f"{name}: several tables of this name, {' and '.join(found)}")
+        return load_table(spark, name, pattern)
 
     return Tables(SCHEMAS, build)
 
 
+def _matches(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths of any file system that a pattern matches."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [status.getPath().toString() for status in found or []]
+
+
 def jdbc_settings(settings: Mapping[str, str] | None = None) -> dict[str, str]:
     """JDBC options from connection settings, by default the process environment.
 
@@ -70,7 +81,8 @@ def jdbc_partitioning(
 ) -> dict[str, str]:
     """Options that split a dated table into parallel range reads.
 
-    The bounds only place the cuts: rows outside them are read by the outer partitions.
+    The bounds only place the cuts: rows outside them are read by the outer partitions. So they must be
+    those of the table's whole history, not of a report's window.
     """
     return {
         "partitionColumn": column,
@@ -80,16 +92,34 @@ def jdbc_partitioning(
     }
 
 
+def table_days(
+    spark: SparkSession, name: str, connection: Mapping[str, str]
+) -> tuple[date | None, date | None]:
+    """First and last day of a table, asked of the database."""
+    query = f"SELECT min(caldt) AS first, max(caldt) AS last FROM {name}"
+    row = spark.read.format("jdbc").options(**connection, query=query).load().first()
+    return row["first"], row["last"]
+
+
 def jdbc_tables(
     spark: SparkSession,
     settings: Mapping[str, str] | None = None,
-    partitioning: Mapping[str, str] | None = None,
+    partitions: int | None = None,
+    history: tuple[str | date, str | date] | None = None,
+    fetchsize: int = 10_000,
 ) -> Tables:
-    """All domain tables over JDBC; dated tables are read in parallel ranges if asked."""
-    connection = jdbc_settings(settings)
+    """All domain tables over JDBC; dated tables are read in ``partitions`` parallel ranges if asked.
+
+    The ranges span ``history``, or the first to the last day of each table, which one row of a query tells.
+    """
+    connection = jdbc_settings(settings) | {"fetchsize": str(fetchsize)}
 
     def build(name: str) -> DataFrame:
-        ranges = partitioning if partitioning and "caldt" in SCHEMAS[name].names else {}
+        ranges = {}
+        if partitions and "caldt" in SCHEMAS[name].names:
+            first, last = history or table_days(spark, name, connection)
+            if first is not None:
+                ranges = jdbc_partitioning(first, last, partitions)
         return load_table(spark, name, fmt="jdbc", dbtable=name, **connection, **ranges)
 
     return Tables(SCHEMAS, build)

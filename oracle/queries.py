@@ -52,13 +52,13 @@ def _number(value: str) -> str:
 
 _HOLDING_PLAIN = "caldt fund ticker side"
 _HOLDING_DOUBLES = (
-    "price_1=price shares_1=shares fx_rate_1=fx_rate value_1=value weight_1=weight "
-    "div_gross_rate/price_1=dividend_yield dividends ret=return div_ret=div_return rf_return "
+    "price_1=price shares_1=shares fx_rate_1=fx_rate value_1=value weight_after=weight "
+    "action_rate/price_1=dividend_yield dividends ret=return div_ret=div_return rf_return "
     "ret-rf_return=xs_return div_ret-rf_return=xs_div_return"
 )
-_STATE_PLAIN = "caldt fund ticker action_id side trade_type"
+_STATE_PLAIN = "caldt fund ticker action_id side trade_sign"
 _STATE_DOUBLES = (
-    "shares_0 shares_1 price_0 price_1 fx_rate_0 fx_rate_1 shares_traded trade_price div_gross_rate dividends"
+    "shares_0 shares_1 price_0 price_1 fx_rate_0 fx_rate_1 shares_traded trade_price action_rate dividends"
 )
 _BENCHMARK_DOUBLES = (
     "starting_value ending_value dividends dividends/ending_value=dividend_yield ret=return div_ret=div_return "
@@ -152,22 +152,22 @@ _BODIES: dict[str, str] = {
         f"""(SELECT caldt, {running("ret", order="caldt, action_id")} * 100 AS a,
                     {running("div_ret_0", order="caldt, action_id")} * 100 AS b FROM total_joined)""",
         "caldt",
-        "a=cummulative_return b=cummulative_return_bmk",
+        "a=cumulative_return b=cumulative_return_bmk",
     ),
     "fund_return_series": rounded(
         f"""(SELECT caldt, fund, {running("ret", "fund", "caldt, action_id")} * 100 AS a,
                     {running("div_ret_0", "fund", "caldt, action_id")} * 100 AS b FROM fund_joined)""",
         "fund caldt",
-        "a=cummulative_return b=cummulative_return_bmk",
+        "a=cumulative_return b=cumulative_return_bmk",
     ),
     "combined_return_series": rounded(
         f"""(SELECT caldt, fund, {running("ret", "fund")} * 100 AS a FROM fund_series)""",
         "fund caldt",
-        "a=cummulative_return",
+        "a=cumulative_return",
     ),
     "dividends_by_day": rounded("div_day", "caldt", "amount=dividends"),
     "dividends_by_action": rounded(
-        "div_action", "fund ticker action_id caldt", "rate=div_gross_rate amount=div_gross_amount"
+        "div_action", "fund ticker action_id caldt", "rate=action_rate amount=action_amount"
     ),
     "dividends_per_fund_day": rounded("div_fund_day", "caldt fund", "amount=dividends"),
     "risk_free_fill": rounded(
@@ -179,18 +179,18 @@ _BODIES: dict[str, str] = {
         "rf_return",
     ),
     "position_snapshot": rounded("pos_avg", "caldt fund ticker side", "shares_1 price_1 fx_rate_1"),
-    "net_trades": rounded("trade_net", "caldt fund ticker trade_type", "net=shares_traded trade_price"),
+    "net_trades": rounded("trade_net", "caldt fund ticker trade_sign", "net=shares_traded trade_price"),
     "position_trade_merge": rounded(
         "merged",
         _STATE_PLAIN,
-        "shares_1 price_1 fx_rate_1 shares_traded trade_price div_gross_rate dividends",
+        "shares_1 price_1 fx_rate_1 shares_traded trade_price action_rate dividends",
     ),
     "lagged_position_state": rounded("states", _STATE_PLAIN, _STATE_DOUBLES),
     "position_values": rounded("valued", _STATE_PLAIN, _STATE_DOUBLES + " value_0 value_1"),
     "position_returns": rounded(
         "returned",
         "caldt fund ticker action_id side",
-        "shares_1 price_1 fx_rate_1 value_1 total_stock_1 weight_1 div_gross_rate dividends "
+        "shares_1 price_1 fx_rate_1 value_1 stock_value weight_after action_rate dividends "
         "ret=return div_ret=div_return",
     ),
     "trading_day_filter": rounded(

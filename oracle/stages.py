@@ -83,17 +83,17 @@ STAGES: dict[str, str] = {
         FROM positions WHERE asset_class <> 'OPT' GROUP BY caldt, fund, ticker""",
     "trade_net": """
         SELECT caldt, fund, ticker, SUM(shares_traded) AS net, AVG(price_traded) AS trade_price,
-               CASE WHEN net > 0 THEN 1 ELSE -1 END AS trade_type
+               CASE WHEN net > 0 THEN 1 ELSE -1 END AS trade_sign
         FROM trades WHERE asset_class NOT IN ('OPT', 'CASH') AND buy_sell <> 'SELL (CA.)'
         GROUP BY caldt, fund, ticker HAVING SUM(shares_traded) <> 0""",
     "merged": """
-        SELECT p.*, t.trade_type, IFNULL(t.net, 0) AS shares_traded, t.trade_price, d.action_id,
-               IFNULL(d.rate, 0) AS div_gross_rate, IFNULL(d.amount, 0) AS dividends
+        SELECT p.*, t.trade_sign, IFNULL(t.net, 0) AS shares_traded, t.trade_price, d.action_id,
+               IFNULL(d.rate, 0) AS action_rate, IFNULL(d.amount, 0) AS dividends
         FROM pos_avg p LEFT JOIN trade_net t USING (caldt, fund, ticker)
         LEFT JOIN div_action d USING (caldt, fund, ticker)
         UNION ALL BY NAME
-        SELECT t.caldt, t.fund, t.ticker, t.trade_type, t.net AS shares_traded, t.trade_price,
-               0.0::DOUBLE AS div_gross_rate, 0.0::DOUBLE AS dividends
+        SELECT t.caldt, t.fund, t.ticker, t.trade_sign, t.net AS shares_traded, t.trade_price,
+               0.0::DOUBLE AS action_rate, 0.0::DOUBLE AS dividends
         FROM trade_net t ANTI JOIN pos_avg p USING (caldt, fund, ticker)""",
     "lags": """
         SELECT *, LAG(side) OVER h AS previous_side, LAG(shares_1) OVER h AS previous_shares,
@@ -106,13 +106,13 @@ STAGES: dict[str, str] = {
                     WHEN shares_1 = shares_traded THEN shares_1 ELSE shares_1 - shares_traded END AS shares_1,
                IFNULL(previous_price, trade_price) AS price_0, IFNULL(price_1, trade_price) AS price_1,
                IFNULL(previous_fx_rate, fx_rate_1) AS fx_rate_0, IFNULL(fx_rate_1, previous_fx_rate) AS fx_rate_1,
-               trade_type, shares_traded, trade_price, div_gross_rate, dividends
+               trade_sign, shares_traded, trade_price, action_rate, dividends
         FROM lags""",
     "valued": """
         SELECT *, shares_0 * price_0 * fx_rate_0 AS value_0, shares_1 * price_1 * fx_rate_1 AS value_1
         FROM states""",
     "returned": """
-        SELECT v.*, NULLIF(n.stock, 0) AS total_stock_1, value_1 / NULLIF(n.stock, 0) AS weight_1,
+        SELECT v.*, NULLIF(n.stock, 0) AS stock_value, value_1 / NULLIF(n.stock, 0) AS weight_after,
                IF(side = 1, value_1, value_0) / NULLIF(IF(side = 1, value_0, value_1), 0) - 1 AS ret,
                IF(side = 1, value_1 + dividends, value_0)
                    / NULLIF(IF(side = 1, value_0, value_1 + dividends), 0) - 1 AS div_ret
@@ -167,7 +167,7 @@ STAGES: dict[str, str] = {
         SELECT *, total_return - beta * total_return_bmk AS alpha
         FROM (SELECT fund, ticker, last(cum ORDER BY caldt, action_id, bmk_action) AS total_return,
                      last(cum_bmk ORDER BY caldt, action_id, bmk_action) AS total_return_bmk,
-                     last(weight_1 ORDER BY caldt, action_id, bmk_action) AS weight,
+                     last(weight_after ORDER BY caldt, action_id, bmk_action) AS weight,
                      {annual_std("div_ret")} AS volatility, {finite("regr_slope(xs_div, xs_div_bmk)")} AS beta
               FROM (SELECT *, {running("div_ret", "fund, ticker", "caldt, action_id, bmk_action")} AS cum,
                            {running("div_ret_bmk", "fund, ticker", "caldt, action_id, bmk_action")} AS cum_bmk

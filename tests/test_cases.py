@@ -74,6 +74,51 @@ def test_duplicate_rate_fails_the_job(spark):
         plans.fund_daily_returns(tables, START, END).collect()
 
 
+@pytest.mark.parametrize("copies", ["nav", "delta_nav"])
+def test_a_day_given_twice_fails_the_job(spark, copies):
+    rows = {
+        "nav": [("2024-01-10", "grad", 9.0)],
+        "delta_nav": delta((100, 101)),
+        "positions": POSITIONS,
+        "calendar": [(f"2024-01-{d:02d}",) for d in range(1, 31)],
+    }
+    rows[copies] = rows[copies] * 2
+    tables = make_tables(spark, **rows)
+    jobs = {
+        "nav": [plans.all_holdings_daily_returns(tables, START, END), plans.current_holdings(tables)],
+        "delta_nav": [plans.fund_daily_returns(tables, START, END), plans.total_daily_returns(tables, START, END)],
+    }
+    for job in jobs[copies]:
+        with pytest.raises(Exception, match="more than one row per"):
+            job.collect()
+
+
+def test_fill_alpha_and_benchmark_are_choices(spark):
+    rates = [("2024-01-02", 0.01), ("2024-01-04", 0.02), ("2024-01-06", 0.03)]
+    nav = delta((100, 101), (100, 102), (100, 103), (100, 104), (100, 106))
+    dividends = [("2024-01-03", "undergrad", "IWV", 7, 1.0, 0.0)]
+    tables = make_tables(spark, delta_nav=nav, risk_free_rate=rates, benchmark=benchmark_rows(100, 101, 104, 103, 107, 109), dividends=dividends)
+    default = plans.fund_performance(tables, START, END).first()
+    assert plans.fund_performance(tables, START, END, rf_fill="previous").first()["sharpe_ratio"] != default["sharpe_ratio"]
+    daily = plans.fund_performance(tables, START, END, alpha="intercept").first()
+    assert daily["alpha"] != default["alpha"] and math.isclose(daily["beta"], default["beta"])
+    paid = plans.fund_performance(tables, START, END, benchmark="dividends").first()
+    assert paid["total_return_bmk"] > default["total_return_bmk"]
+    total = plans.total_performance(tables, START, END, alpha="period", benchmark="price").first()
+    assert total["alpha"] != plans.total_performance(tables, START, END).first()["alpha"]
+    for wrong in ({"alpha": "x"}, {"benchmark": "x"}):
+        with pytest.raises(ValueError):
+            plans.fund_performance(tables, START, END, **wrong)
+
+
+def test_upsert_with_and_without_a_bound_agree(spark):
+    tables = make_tables(spark, holding=HOLDING)
+    batch = spark.createDataFrame(
+        [("grad", "A", day("2024-07-01"), None), ("new", "Z", day("2024-08-01"), 3.0)], tables["holding"].schema
+    )
+    assert rows_of(plans.upsert_holdings(tables, batch)) == rows_of(plans.upsert_holdings(tables, batch, 2))
+
+
 def test_unknown_fill_is_refused(spark):
     tables = make_tables(spark, delta_nav=delta((100, 101)))
     with pytest.raises(ValueError):

@@ -38,7 +38,7 @@ def test_last_point_of_a_series_is_the_total_return(tables, by_fund):
         points = last_points(series(tables, START, END))
         assert set(points) == set(by_fund)
         for fund, row in by_fund.items():
-            assert math.isclose(points[fund]["cummulative_return"] / 100, row["total_return"], rel_tol=1e-9)
+            assert math.isclose(points[fund]["cumulative_return"] / 100, row["total_return"], rel_tol=1e-9)
 
 
 def test_last_point_of_the_total_series(tables):

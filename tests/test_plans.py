@@ -80,6 +80,51 @@ def test_upsert_does_not_shuffle_the_target(spark, no_automatic_broadcast):
     ]
 
 
+@pytest.mark.parametrize("history", ["dividend_history", "trade_history", "current_tickers"])
+def test_conditions_on_sorted_results_reach_the_files(spark, tmp_path, history):
+    table = {"dividend_history": "dividends", "trade_history": "trades", "current_tickers": "positions"}[history]
+    rows = {
+        "dividends": [("2024-01-02", "grad", "A", 1, 1.0, 2.0)],
+        "trades": [("2024-01-02", "grad", "A", "EQ", "BUY", 1.0, 2.0)],
+        "positions": [("2024-01-02", "grad", "A", "EQ", 1.0, 2.0, 1.0)],
+    }
+    make_tables(spark, **{table: rows[table]})[table].write.parquet(str(tmp_path / table))
+    stored = parquet_tables(spark, str(tmp_path))
+    window = () if history == "current_tickers" else ("2024-01-01", "2024-02-01")
+    result = getattr(plans, history)(stored, *window).filter("fund = 'grad' AND ticker = 'A'")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = plan_of(result)
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "EqualTo(fund,grad)" in plan and "EqualTo(ticker,A)" in plan
+    assert result.count() == 1
+
+
+def test_sold_holdings_are_left_out_before_the_merge(spark, no_automatic_broadcast):
+    """Each base table meets the current tickers below the first aggregate."""
+    tables = make_tables(spark)
+    logical = plans.holdings_performance(tables, "2024-01-01", "2024-12-31", ["grad"])
+    lines = logical._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    semi = [i for i, line in enumerate(lines) if "Join LeftSemi" in line and "ticker" in line]
+    assert len(semi) == 3
+    for i in semi:
+        below = [lines[j] for j in range(i + 1, len(lines)) if all(depth[k] > depth[i] for k in range(i + 1, j + 1))]
+        left = [line for line, d in zip(below, depth[i + 1 :]) if d > depth[i]]
+        first_aggregate = next((k for k, line in enumerate(left) if "Aggregate" in line), None)
+        first_scan = next(k for k, line in enumerate(left) if "LocalRelation" in line or "Relation [" in line or "RDD" in line)
+        assert first_aggregate is None or first_scan < first_aggregate
+
+
+def test_holdings_are_sorted_once_for_their_windows(spark, no_automatic_broadcast):
+    plan = plan_of(plans.all_holdings_daily_returns(make_tables(spark), "2024-01-01", "2024-12-31", ["grad"]))
+    assert len(re.findall(r"Sort \[fund#\d+ ASC NULLS FIRST, ticker#\d+ ASC NULLS FIRST", plan)) == 1
+
+
+def test_a_report_of_a_few_rows_is_sorted_in_one_partition(spark):
+    plan = plan_of(plans.performance_report(make_tables(spark), "2024-01-01", "2024-12-31"))
+    assert "rangepartitioning" not in plan
+
+
 def test_conditions_and_columns_reach_the_files(spark, tmp_path):
     tables = make_tables(spark, positions=[("2024-01-02", "grad", "A", "EQ", 1.0, 2.0, 1.0)])
     tables["positions"].write.parquet(str(tmp_path / "positions"))

@@ -15,12 +15,14 @@ from fundperf.sources import (
     demo_tables,
     jdbc_partitioning,
     jdbc_settings,
+    jdbc_tables,
     load_table,
     parquet_tables,
     write_report,
     write_series,
     write_snapshot,
 )
+from fundperf.sources import readers
 from tests.compare import connect
 from tests.frames import make_tables, rows_of
 from oracle.views import VIEWS
@@ -75,6 +77,44 @@ def test_jdbc_options():
         jdbc_settings({})
 
 
+def test_jdbc_ranges_span_the_history_and_not_the_window(monkeypatch):
+    asked, loaded = [], {}
+    monkeypatch.setattr(readers, "load_table", lambda spark, name, **options: loaded.setdefault(name, options))
+    monkeypatch.setattr(
+        readers, "table_days", lambda spark, name, connection: asked.append(name) or (date(2001, 1, 1), date(2024, 12, 31))
+    )
+    tables = jdbc_tables(None, SETTINGS, partitions=8)
+    assert tables["positions"]["lowerBound"] == "2001-01-01" and tables["positions"]["upperBound"] == "2024-12-31"
+    assert tables["positions"]["fetchsize"] == "10000" and tables["positions"]["numPartitions"] == "8"
+    assert "lowerBound" not in tables["portfolio"] and asked == ["positions"]
+    given = jdbc_tables(None, SETTINGS, partitions=4, history=("1999-01-01", "2024-12-31"))
+    loaded.clear()
+    assert given["nav"]["lowerBound"] == "1999-01-01" and asked == ["positions"]
+    loaded.clear()
+    assert "lowerBound" not in jdbc_tables(None, SETTINGS)["nav"]
+
+
+def test_two_tables_of_one_name_are_refused(spark, tmp_path):
+    nav = make_tables(spark, nav=[("2024-01-02", "grad", 7.0)])["nav"]
+    for name in ("nav", "nav.parquet"):
+        nav.write.parquet(str(tmp_path / name))
+    with pytest.raises(ValueError, match="several tables"):
+        parquet_tables(spark, str(tmp_path))["nav"]
+
+
+def test_a_report_can_run_beside_the_remains_of_another(spark, tmp_path):
+    demo = demo_tables(spark, "/root/testdata/sf0.001")
+    for name in SCHEMAS:
+        write_snapshot(demo[name], str(tmp_path / "tables" / name))
+    (tmp_path / "out" / "first" / "overall_performance").mkdir(parents=True)
+    main(
+        ["--tables", str(tmp_path / "tables"), "--out", str(tmp_path / "out"), "--start", "1995-07-01", "--end", "2001-06-29"]
+        + ["--funds", "grad", "quant", "--rf-fill", "previous", "--run", "second"]
+    )
+    overall = spark.read.parquet(str(tmp_path / "out" / "second" / "overall_performance"))
+    assert sorted(r["Fund"] for r in overall.collect()) == ["All", "Grad", "Quant"]
+
+
 def test_jdbc_settings_come_from_the_environment(monkeypatch):
     for name, value in SETTINGS.items():
         monkeypatch.setenv(name, value)
@@ -131,8 +171,13 @@ def test_annual_report_from_stored_tables(spark, tmp_path):
     main(["--tables", str(tmp_path / "tables"), "--out", str(out), "--start", "1995-07-01", "--end", "2001-06-29"])
     assert {p.name for p in out.iterdir()} == {
         "overall_performance", "holdings_performance", "total_return_series", "fund_return_series",
-        "combined_return_series",
+        "combined_return_series", "fund_daily_returns", "benchmark_daily_returns", "overall_measures",
+        "holdings_measures",
     }
+    measures = spark.read.parquet(str(out / "overall_measures"))
+    assert {(str(r["period_start"]), str(r["period_end"])) for r in measures.collect()} == {("1995-07-01", "2001-06-29")}
+    series = spark.read.parquet(str(out / "fund_return_series")).select("fund", "caldt", "cumulative_return", "cumulative_return_bmk")
+    assert rows_of(series) == rows_of(plans.fund_return_series(demo, "1995-07-01", "2001-06-29"))
     overall = spark.read.parquet(str(out / "overall_performance"))
     assert overall.count() == 5
     holdings = spark.read.parquet(str(out / "holdings_performance"))
