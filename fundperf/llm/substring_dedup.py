@@ -163,23 +163,25 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """
     known = docs.select("doc_id", "text", "version").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     found = cut(occurrences(known, length, k))
-    shared = (
+    # Aggregates are tables of their own before they are joined back: a join that shares an aggregate's
+    # shuffle can't have its hot keys split.
+    shared = cut(
         found.groupBy("anchor")
         .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
         .filter("low < high")
         .select("anchor")
     )
     seeds = cut(found.join(shared, "anchor", "left_semi"))
-    reaches = seeds.groupBy("anchor", "reach").agg(F.min("doc_id").alias("first_doc"))
-    ends = reaches.groupBy("anchor").agg((F.count("*") > 1).alias("several"))
+    reaches = cut(seeds.groupBy("anchor", "reach").agg(F.min("doc_id").alias("first_doc")))
+    ends = cut(reaches.groupBy("anchor").agg((F.count("*") > 1).alias("several")))
     judged = cut(
-        seeds.join(reaches.join(ends, "anchor"), ["anchor", "reach"])
+        seeds.join(cut(reaches.join(ends, "anchor")), ["anchor", "reach"])
         .filter("doc_id > first_doc OR several")
         .select("doc_id", "version", "pos", (F.col("doc_id") > F.col("first_doc")).alias("whole"))
     )
     open_ = judged.filter("NOT whole").groupBy("doc_id", "version").agg(F.collect_set("pos").alias("open"))
     windows = cut(windows_at(known.join(open_, ["doc_id", "version"]), length, k))
-    first = windows.groupBy("one", "two").agg(F.min("doc_id").alias("first_doc"))
+    first = cut(windows.groupBy("one", "two").agg(F.min("doc_id").alias("first_doc")))
     single = windows.join(first, ["one", "two"]).filter("doc_id > first_doc")
     # An anchor's reach may pass the document's ends; spans are clipped where they are used.
     spans = judged.filter("whole").select(
