@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import quality_rules, substring_dedup
 from .decontamination import op2_decontamination
 from .license_scan import op5_license_scan
 from .packing import op9_packing
@@ -27,4 +27,7 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {"op7_quality_rules": quality_rules.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op4_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op7_quality_rules": quality_rules.ORACLE_SQL,
+}

@@ -253,3 +253,29 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What removing repeated 50-word windows leaves of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_substrings(docs).select("others.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+ORACLE_SQL = r"""
+WITH texts AS (
+    SELECT row_number() OVER () AS rid, doc_id,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), windows AS (
+    SELECT rid, doc_id, i, array_to_string(words[i : i + 49], ' ') AS window_words
+    FROM texts, unnest(range(1, len(words) - 48)) AS u(i)
+), firsts AS (
+    SELECT window_words, min(doc_id) AS first_doc FROM windows GROUP BY window_words
+), removed AS (
+    SELECT DISTINCT rid, i + k AS place
+    FROM windows JOIN firsts USING (window_words), unnest(range(50)) AS u(k)
+    WHERE doc_id > first_doc
+), kept AS (
+    SELECT rid, string_agg(word, ' ' ORDER BY place) AS kept_words, count(*) AS n
+    FROM (SELECT rid, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM texts)
+        ANTI JOIN removed USING (rid, place)
+    GROUP BY rid
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed,
+    sha256(coalesce(kept_words, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (rid)
+"""

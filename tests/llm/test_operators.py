@@ -19,6 +19,7 @@ from fundperf.llm import (
     packing,
     quality_classifier,
     quality_rules,
+    queries,
     sharding,
     simhash,
     substring_dedup,
@@ -389,12 +390,13 @@ def test_host_rates_shrink_towards_the_mean(spark):
     assert quality_rules.judge(empty_docs(spark)).count() == 0
 
 
-def test_quality_rules_against_sql(spark):
+@pytest.mark.parametrize("name", list(queries.ORACLES))
+def test_queries_against_sql(spark, name):
     from tests.compare import connect, first_difference, oracle_rows, spark_rows
 
     sf_dir = "/root/testdata/sf0.001"
-    got = spark_rows(quality_rules.op7_quality_rules(spark, sf_dir))
-    expected = oracle_rows(connect(sf_dir), quality_rules.ORACLE_SQL)
+    got = spark_rows(queries.QUERIES[name](spark, sf_dir))
+    expected = oracle_rows(connect(sf_dir), queries.ORACLES[name])
     assert got[0] == expected[0] and first_difference(got[1], expected[1]) is None
 
 
