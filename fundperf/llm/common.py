@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from types import ModuleType
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: Text handled at once inside a task; a longer single text is one slice by itself.
 SLICE_BYTES = 8 << 20
 
@@ -63,6 +68,20 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [value or b"" for value in batch[column].cast(pa.binary()).to_pylist()]
 
 
+def kept_in_worker(key: tuple, make: Callable[[], T]) -> T:
+    """What ``make`` gives, made once in each worker process.
+
+    Tasks get this package by value, so its own globals start anew with every task; a module of its own
+    keeps compiled tables for the tasks that follow in the same process.
+    """
+    name = "fundperf_worker_tables"
+    module = sys.modules.setdefault(name, ModuleType(name))
+    kept = module.__dict__.setdefault("kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     """A pyarrow schema from ``name type`` pairs of the few types used here."""
     kinds = {

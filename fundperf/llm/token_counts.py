@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, table, text_slices
+from .common import arrow_schema, kept_in_worker, table, text_slices
 
 LIMIT = 2048
 #: Characters of a chunk of the prefix scan.
 CHUNK = 256
-#: States and pre-tokens a task remembers; beyond, they are compiled anew.
-STATES, REMEMBERED = 100_000, 400_000
+#: States and pre-tokens a worker remembers; beyond, they are compiled anew.
+STATES, REMEMBERED = 120_000, 400_000
 
 # Character classes.
 OTHER, SPACE, LETTER, DIGIT, QUOTE, SINGLE, R, V, L, E, UNKNOWN = range(11)
@@ -311,7 +311,7 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
     schema = arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TokenCounter(vocabulary)
+        counter = kept_in_worker(("token counter", vocabulary), lambda: TokenCounter(vocabulary))
         for part in text_slices(batches):
             sizes = pa.compute.fill_null(pa.compute.binary_length(part["text"]), 0).cast(pa.int64())
             counts = counter.of([text or "" for text in part["text"].to_pylist()])
