@@ -15,21 +15,23 @@ import base64
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, cut, table, text_slices
+from .common import arrow_schema, cut, kept_in_worker, table, text_slices
 
 SEQUENCE = 1024
 GRAIN = 4
 END_ID = 0
 #: Where the linear program stops: relative distance to its bound, and pricing rounds.
 GAP, ROUNDS = 0.001, 600
-#: Buckets that pieces of one class are ranked in; with the classes, the bound of the broadcast counts.
-RANK_BUCKETS = 512
+#: Buckets that pieces of one class are ranked in, and those of the class of full pieces, which grows most.
+#: With the classes they bound the counts that are broadcast: some 20,000 rows.
+RANK_BUCKETS, FULL_BUCKETS = 64, 4096
 SPECIAL = "<|endoftext|>"
 
 
@@ -43,15 +45,19 @@ class Ids:
 
     def __init__(self, vocabulary: str, ranks: str, pattern: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(vocabulary)
+        self.vocabulary = vocabulary
         with open(ranks, "rb") as lines:
             table_ = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table_, special_tokens={})
-        self.special = np.array([self.library.token_to_id(SPECIAL)], "<u4").tobytes()
         self.foreign = re.compile("[^\\x00-\\u024f\\u2010-\\u2027\\u20ac]")
 
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.vocabulary)
+
     def part(self, text: str) -> bytes:
         if self.foreign.search(text):
             ids = self.library.encode(text, add_special_tokens=False).ids
@@ -60,7 +66,10 @@ class Ids:
         return np.array(ids, "<u4").tobytes()
 
     def of(self, text: str | None) -> bytes:
-        return self.special.join(self.part(part) if part else b"" for part in (text or "").split(SPECIAL))
+        parts = [self.part(part) if part else b"" for part in (text or "").split(SPECIAL)]
+        if len(parts) == 1:
+            return parts[0]
+        return np.array([self.library.token_to_id(SPECIAL)], "<u4").tobytes().join(parts)
 
 
 def pieces(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, sequence: int = SEQUENCE) -> DataFrame:
@@ -70,7 +79,7 @@ def pieces(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, sequence:
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(vocabulary, ranks, pattern)
+        ids = kept_in_worker(("ids", vocabulary, ranks, pattern), lambda: Ids(vocabulary, ranks, pattern))
         for part in text_slices(batches):
             rows = []
             for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
@@ -219,10 +228,11 @@ def pack(
     tie freely within a class. Other columns aren't read; an empty table gives an empty result.
     """
     size = F.ceil(F.col("length") / grain).cast("int")
-    bucket = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), F.lit(RANK_BUCKETS)).cast("int")
+    buckets = F.when(F.col("length") == sequence, FULL_BUCKETS).otherwise(RANK_BUCKETS)
+    bucket = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), buckets).cast("int")
     cutted = cut(pieces(docs, vocabulary, ranks, pattern, sequence).withColumns({"size": size, "bucket": bucket}))
     classes = -(-sequence // grain)
-    counts = cutted.groupBy("size", "bucket").count().collect()  # at most classes * RANK_BUCKETS rows
+    counts = cutted.groupBy("size", "bucket").count().collect()  # bounded by the buckets
     demand = np.zeros(classes + 1, np.int64)
     first = []
     for row in sorted(counts):
