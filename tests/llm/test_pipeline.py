@@ -72,3 +72,23 @@ def test_the_entry_registers_all(spark):
     assert set(queries.ORACLES) <= set(contract.oracle_sql())
     assert {name.split("_")[0] for name in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
     assert [name for name, _ in corpus_pipeline.STAGES][-1] == "packing"
+
+
+def test_written_tables_go_where_the_session_says(spark):
+    from types import SimpleNamespace
+
+    from fundperf.llm.common import shared_dir
+
+    def asked(setting, master, kept=None):
+        conf = SimpleNamespace(get=lambda key, default=None: setting if key == "spark.checkpoint.dir" else default)
+        context = SimpleNamespace(
+            master=master, getConf=lambda: SimpleNamespace(get=lambda key: None), getCheckpointDir=lambda: kept
+        )
+        return shared_dir(SimpleNamespace(conf=conf, sparkContext=context))
+
+    assert asked("hdfs://a/b/", "yarn") == "hdfs://a/b"
+    assert asked(None, "yarn", "s3://kept") == "s3://kept"
+    for master in ("yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError):
+            asked(None, master)
+    assert shared_dir(spark)
