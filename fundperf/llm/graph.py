@@ -13,15 +13,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each round hangs a node's larger neighbours, then its smaller ones, below its smallest neighbour, until
     nothing changes. Rounds are written tables; only a count and a checksum reach the driver. Minima are
-    aggregated before the shuffle and joined back, so a hub never gathers in one task.
+    aggregated before the shuffle, written, and joined back as tables, so Spark can split a hub's rows.
     """
     stars = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     while True:
         both = stars.unionAll(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        lowest = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = (
             large.join(lowest, "u")
             .filter("v <> m")

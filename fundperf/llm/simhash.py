@@ -267,8 +267,8 @@ def near_duplicate_groups(
     rooted = codes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first_doc", F.coalesce("root", "fp").alias("root")
     )
-    smallest = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "root", "component_id")
+    smallest = cut(rooted.groupBy("root").agg(F.min("first_doc").alias("component_id")))
+    named = cut(rooted.join(smallest, "root").select("fp", "root", "component_id"))
     return marked.join(named, "fp").select("doc_id", "version", "fp", "root", "component_id")
 
 
