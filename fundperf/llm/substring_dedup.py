@@ -173,9 +173,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     )
     seeds = cut(found.join(shared, "anchor", "left_semi"))
     reaches = cut(seeds.groupBy("anchor", "reach").agg(F.min("doc_id").alias("first_doc")))
-    ends = cut(reaches.groupBy("anchor").agg((F.count("*") > 1).alias("several")))
+    several = reaches.groupBy("anchor").agg((F.count("*") > 1).alias("several")).filter("several")
     judged = cut(
-        seeds.join(cut(reaches.join(ends, "anchor")), ["anchor", "reach"])
+        seeds.join(reaches.join(cut(several), "anchor", "left"), ["anchor", "reach"])
         .filter("doc_id > first_doc OR several")
         .select("doc_id", "version", "pos", (F.col("doc_id") > F.col("first_doc")).alias("whole"))
     )
