@@ -128,7 +128,7 @@ def judge(docs: DataFrame) -> DataFrame:
     The measures are one written table: hosts are aggregated from it and joined back to its narrow rows.
     """
     rows = cut(failures(measured(docs.select("doc_id", "text", "source", version_of().alias("version")))))
-    hosts = host_rates(rows)
+    hosts = cut(host_rates(rows))
     strict = (F.col("rate") > STRICT) & F.col("soft_failed")
     return rows.join(hosts.select("host", "rate"), F.col("source").eqNullSafe(F.col("host"))).withColumn(
         "kept", ~F.col("base_failed") & ~strict
