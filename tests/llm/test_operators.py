@@ -191,6 +191,41 @@ def test_small_blocks_find_the_same(spark, benchmark_rows, monkeypatch):
     assert {row[:2] for row in whole} >= {(i, i) for i in range(10)}
 
 
+def test_short_and_much_edited_items_are_found_at_every_offset(spark):
+    """Items that cosines miss: few words, or just SHARE of the words kept."""
+    rng, bench, docs, leaks = random.Random(8), [], [], set()
+    for n in [*range(2, 17), 20, 24, 31, 45]:
+        item = prose(7000 + n, n).split()
+        bench.append((n, " ".join(item)))
+        need = decontamination.Item.of(n, " ".join(item).encode(), substring_dedup.WordHashes()).need
+        for offset in range(8):
+            # The last third stays; what is replaced lies before it.
+            gone = set(rng.sample(range(n - max(3, -(-n // 3))), n - need)) if offset % 2 and n > need else ()
+            copy = [f"other{i}" if i in gone else w for i, w in enumerate(item)]
+            words = prose(8000 + 10 * n + offset, 160 + offset).split()
+            words[80 + offset : 80 + offset] = copy
+            docs.append((100 * n + offset, " ".join(words)))
+            leaks.add((100 * n + offset, n))
+    got = decontamination.find_leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    )
+    assert leaks <= {(r["doc_id"], r["item_id"]) for r in got.collect()}
+
+
+def test_seeds_across_the_parts_of_a_long_document(spark, monkeypatch):
+    item = prose(7, 30)
+    text = prose(11, 990) + " " + item + " " + prose(12, 990)
+    hashes = substring_dedup.WordHashes()
+    vectors, idf = np.zeros((decontamination.DIM, 1), np.float32), np.ones(decontamination.DIM)
+    codes = decontamination.numbers(decontamination.words_of(text.encode()), hashes)
+    at = decontamination.numbers(decontamination.words_of(item.encode()), hashes)
+    begin = next(i for i in range(len(codes)) if np.array_equal(codes[i : i + len(at)], at))
+    for words in (begin, begin + 1, begin + 15, begin + 29, begin + 30, 100_000):
+        monkeypatch.setattr(decontamination, "WORDS", words)
+        found = decontamination.Searcher([(1, item.encode())], vectors, idf).search([codes, codes[:500], codes])
+        assert [set(own) for own in found] == [{1}, set(), {1}]
+
+
 def test_decontamination_of_empty_tables(spark, benchmark_rows):
     bench = spark.createDataFrame(benchmark_rows, "item_id long, text string")
     assert decontamination.find_leaks(empty_docs(spark), bench).count() == 0
