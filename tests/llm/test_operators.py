@@ -212,6 +212,22 @@ def test_short_and_much_edited_items_are_found_at_every_offset(spark):
     assert leaks <= {(r["doc_id"], r["item_id"]) for r in got.collect()}
 
 
+def test_an_answer_is_asked_for_only_where_an_item_marks_one():
+    hashes = substring_dedup.WordHashes()
+    words = [f"word{i}" for i in range(30)]
+    marked = [*words[:20], "answer", *words[20:]]
+
+    def shares(item, held):
+        own = decontamination.Item.of(1, " ".join(item).encode(), hashes)
+        return own.found(decontamination.numbers([w.encode() for w in held], hashes).tolist())
+
+    assert shares(words, words[:24]) == (0.8, 0.8)  # a leading excerpt counts like any other
+    assert shares(words, words[6:]) == (0.8, 0.8)
+    assert shares(words, words[:17]) is None
+    assert shares(marked, marked[:25]) is None
+    assert shares(marked, marked[:26]) == (26 / 31, 0.5)
+
+
 def test_seeds_across_the_parts_of_a_long_document(spark, monkeypatch):
     item = prose(7, 30)
     text = prose(11, 990) + " " + item + " " + prose(12, 990)
