@@ -46,8 +46,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def version_of() -> Column:
-    """A checksum of the text, which tells rows that share a doc_id apart."""
-    return F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    """A 128-bit digest of the text, which tells rows that share a doc_id apart."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:

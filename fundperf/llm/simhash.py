@@ -57,7 +57,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, version, fp long) of every document; null texts count as empty."""
-    kind = "doc_id long, version long, fp long"
+    kind = "doc_id long, version binary, fp long"
     schema = arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

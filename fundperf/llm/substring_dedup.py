@@ -86,7 +86,7 @@ def split_slice(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.
 
 def occurrences(docs: DataFrame, length: int, k: int) -> DataFrame:
     """Every anchor with the hash of its reach, its document and its place."""
-    kind = "anchor long, reach long, doc_id long, version long, pos int"
+    kind = "anchor long, reach long, doc_id long, version binary, pos int"
     schema = arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +124,7 @@ def occurrences(docs: DataFrame, length: int, k: int) -> DataFrame:
 
 def windows_at(docs: DataFrame, length: int, k: int) -> DataFrame:
     """Hashes of the windows around the listed anchor places ``open`` of each document."""
-    kind = "one long, two long, doc_id long, version long, start int"
+    kind = "one long, two long, doc_id long, version binary, start int"
     schema = arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

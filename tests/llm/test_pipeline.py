@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+
 import pytest
 
 import __spark_entry__ as contract
@@ -55,6 +58,32 @@ def test_stages_take_effect_and_keep_clean_documents(spark, corpus):
     assert {r[0] for r in packed} == clean | {None}
 
 
+def test_different_texts_of_one_crc_stay_apart(spark, tmp_path):
+    """Rows without doc_id, or of one doc_id, are told apart by the whole text."""
+    item = prose(70, 40)
+    heads = ["too short", prose(600, 60) + " " + item + " " + prose(601, 60), prose(602, 120)]
+    tails = [hashlib.md5(str(i).encode()).hexdigest() for i in range(300_000)]
+    sums = [{zlib.crc32(f" {tail}".encode(), zlib.crc32(head.encode())): f"{head} {tail}" for tail in tails} for head in heads]
+
+    def pair(a, b):
+        both = min(sums[a].keys() & sums[b].keys())
+        return sums[a][both], sums[b][both]
+
+    folder = str(tmp_path)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for doc_id in (None, 5):
+
+        def left(stage, texts):
+            rows = [(doc_id, text, "en", "s0", 1) for text in texts]
+            return sorted(r["text"] for r in stage(spark, spark.createDataFrame(rows, SCHEMA), folder).collect())
+
+        short, clean = pair(0, 2)
+        assert left(corpus_pipeline.quality_rules, [short, clean]) == [clean]
+        leak, clean = pair(1, 2)
+        assert left(corpus_pipeline.near_duplicates, [leak, clean]) == sorted([leak, clean])
+        assert left(corpus_pipeline.decontamination, [leak, clean]) == [clean]
+
+
 def test_awkward_rows_and_empty_tables_pass_all_stages(spark, corpus):
     extra = (None,) * len(CLASHES.split(", "))
     rows = [row + extra for row in edge_rows()]
