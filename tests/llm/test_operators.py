@@ -212,6 +212,14 @@ def test_short_and_much_edited_items_are_found_at_every_offset(spark):
     assert leaks <= {(r["doc_id"], r["item_id"]) for r in got.collect()}
 
 
+def test_words_of_every_passage_count(spark):
+    item = prose(70, 20)
+    docs = spark.createDataFrame([(1, item), (2, item)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = decontamination.find_leaks(docs, bench).collect()
+    assert [(r["share"], round(r["cosine"], 3)) for r in got] == [(1.0, 1.0)] * 2
+
+
 def test_an_answer_is_asked_for_only_where_an_item_marks_one():
     hashes = substring_dedup.WordHashes()
     words = [f"word{i}" for i in range(30)]
