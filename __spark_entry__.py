@@ -17,9 +17,10 @@ from fundperf import operators, plans  # noqa: E402
 from fundperf.functions import stats  # noqa: E402
 from fundperf.functions.bounds import in_window  # noqa: E402
 from fundperf.operators.dividends import dividends_by_action  # noqa: E402
+from fundperf.plans import carried, published, stored_statistics  # noqa: E402
 from fundperf.plans.performance import with_benchmark  # noqa: E402
 from fundperf.plans.series import cumulative_return  # noqa: E402
-from fundperf.sources import Tables, demo_tables  # noqa: E402
+from fundperf.sources import Tables, VersionedTable, demo_tables, shared_folder  # noqa: E402
 from oracle.queries import ORACLES  # noqa: E402
 
 ENTRY_DIR = "/root/testdata/sf0.001"
@@ -29,6 +30,11 @@ START, END = "1995-07-01", "2001-06-29"
 UNIVERSE_DAY = "2001-06-25"
 LOG_START, LOG_END, LOG_FUNDS = "2024-01-10", "2024-01-20", ("grad", "quant")
 PORTFOLIO_BATCH = [("grad", 0.09, 0.04), ("omega", 0.07, None)]
+# A state of April carried to the end of May, and the days that are worked out from it.
+FIRST_STATE, STATE_DAY, LAST_DAY = "2001-04-30", "2001-05-31", "2001-06-29"
+# A window that cuts months at both ends.
+CUT_START, CUT_END = "1996-02-14", "2000-09-20"
+HOLDING_FILES = 8
 
 
 def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -72,14 +78,70 @@ def _benchmark_join(t: Tables) -> DataFrame:
     )
 
 
-def _upsert_holding(t: Tables) -> DataFrame:
-    """Fresh targets for every holding on a last position day: updates and inserts."""
+def _fresh_targets(t: Tables) -> DataFrame:
+    """Targets for every holding on a last position day: updates and inserts."""
     held = operators.latest_snapshot(t["positions"])
-    updates = held.groupBy("fund", "ticker").agg(
+    return held.groupBy("fund", "ticker").agg(
         F.date_add(F.max("caldt"), 180).alias("horizon_date"),
         (F.max("price") * 1.25).alias("target_price"),
     )
-    return plans.upsert_holdings(t, updates)
+
+
+def _upsert_holding(t: Tables) -> DataFrame:
+    return plans.upsert_holdings(t, _fresh_targets(t))
+
+
+def _published_targets(t: Tables) -> VersionedTable:
+    """All targets, then fresh ones, then those of one fund raised: three versions."""
+    spark = t["holding"].sparkSession
+    table = published.publish_table(spark, t, "holding", shared_folder(spark), HOLDING_FILES)
+    published.publish_upsert(table, "holding", _fresh_targets(t), batch="fresh")
+    raised = table.read().filter("fund = 'quant'").selectExpr(
+        "fund", "ticker", "date_add(horizon_date, 30) AS horizon_date", "target_price * 2 AS target_price"
+    )
+    published.publish_upsert(table, "holding", raised)
+    return table
+
+
+def _published_portfolio(t: Tables) -> DataFrame:
+    """The settings in all their versions: two writers start from the first, one has to start again, one sends twice."""
+    spark = t["portfolio"].sparkSession
+    table = published.publish_table(spark, t, "portfolio", shared_folder(spark), 1)
+    base = table.version()
+    for batch, row in zip(("one", "two", "two"), (*PORTFOLIO_BATCH, PORTFOLIO_BATCH[1])):
+        updates = spark.createDataFrame([row], t["portfolio"].schema)
+        published.publish_upsert(table, "portfolio", updates, 1, batch, base)
+    versions = [table.read(n).withColumn("version", F.lit(n).cast("long")) for n in table.numbers()]
+    whole = versions[0]
+    for version in versions[1:]:
+        whole = whole.unionByName(version)
+    return whole
+
+
+def _carried_state(t: Tables) -> carried.HoldingState:
+    """The state at STATE_DAY, carried on from an earlier one that was stored."""
+    folder = shared_folder(t["positions"].sparkSession)
+    first = carried.holding_state(t, FIRST_STATE).save(folder)
+    return carried.advanced(t, first, STATE_DAY).save(folder)
+
+
+def _carried_after_correction(t: Tables) -> DataFrame:
+    """Days from a state in whose last week one fund's rows had not arrived, after they have."""
+    late = F.expr(f"fund = 'quant' AND caldt > date_sub(DATE'{STATE_DAY}', 7) AND caldt <= DATE'{STATE_DAY}'")
+    dated = ("positions", "trades", "dividends")
+    early = {name: t[name].filter(~late) if name in dated else t[name] for name in t}
+    state = carried.holding_state(early, STATE_DAY).save(shared_folder(t["positions"].sparkSession))
+    state = carried.corrected(t, state, *[t[name].filter(late) for name in dated])
+    return carried.holding_returns_from(t, state, LAST_DAY)
+
+
+def _stored(t: Tables) -> stored_statistics.StoredStatistics:
+    return stored_statistics.store_statistics(t, shared_folder(t["delta_nav"].sparkSession))
+
+
+def _six_places(df: DataFrame, name: str) -> DataFrame:
+    """Sums of money, which are large, to six places; measures keep theirs."""
+    return df.withColumn(name, F.expr(f"floor({name} * 1e6D + 0.5D) / 1e6D"))
 
 
 def _upsert_portfolio(t: Tables) -> DataFrame:
@@ -183,6 +245,20 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "trading_day_filter": lambda t: operators.on_trading_days(t["delta_nav"], t["calendar"]),
     "latest_snapshot": lambda t: operators.latest_snapshot(t["positions"]),
     "benchmark_join": _benchmark_join,
+    # Published versions, carried state and stored statistics
+    "published_holding": lambda t: _published_targets(t).read(),
+    "published_holding_changes": lambda t: _published_targets(t).changes(0),
+    "published_portfolio": _published_portfolio,
+    "carried_holding_state": lambda t: _carried_state(t).holdings,
+    "carried_holding_returns": lambda t: carried.holding_returns_from(t, _carried_state(t), LAST_DAY),
+    "carried_after_correction": _carried_after_correction,
+    "stored_fund_performance": lambda t: _six_places(
+        stored_statistics.stored_fund_performance(_stored(t), START, END), "dividends"
+    ),
+    "stored_total_performance": lambda t: _six_places(
+        stored_statistics.stored_total_performance(_stored(t), CUT_START, CUT_END), "dividends"
+    ),
+    "stored_performance_report": lambda t: stored_statistics.stored_performance_report(_stored(t), CUT_START, CUT_END),
     # Single measures
     "op_volatility": _volatility,
     "op_tracking_error": _tracking_error,
@@ -205,6 +281,9 @@ PLACES = {"holdings_performance": 8} | dict.fromkeys(
         "total_performance",
         "fund_performance",
         "performance_report",
+        "stored_fund_performance",
+        "stored_total_performance",
+        "stored_performance_report",
         *(name for name in _QUERIES if name.startswith("op_") and name not in ("op_lag_state", "op_cumulative_return")),
     ),
     10,

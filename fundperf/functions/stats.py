@@ -13,7 +13,7 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator, denominator)
 
 
-def _present_on(day: Column, value: Column) -> Column:
+def present_on(day: Column, value: Column) -> Column:
     """Ascending integer of (day, value present); the last bit tells the presence."""
     return F.unix_date(day) * 2 + value.isNotNull().cast("int")
 
@@ -24,13 +24,13 @@ def compound_return(returns: Column, day: Column) -> Column:
     Missing days inside the period are skipped. Log returns would not do: daily returns
     below -1 occur for short positions and closing trades.
     """
-    has_last = F.max(_present_on(day, returns)).bitwiseAND(1) == 1
+    has_last = F.max(present_on(day, returns)).bitwiseAND(1) == 1
     return F.when(has_last, F.product(returns + 1.0) - 1.0)
 
 
 def last_value(value: Column, day: Column) -> Column:
     """Value of the last day, NULL if that day has none."""
-    return F.max_by(value, _present_on(day, value))
+    return F.max_by(value, present_on(day, value))
 
 
 def running_return(returns: Column, window: WindowSpec) -> Column:

@@ -1,4 +1,12 @@
 from fundperf.operators.benchmark import benchmark_join
+from fundperf.operators.carried import (
+    action_state,
+    actions_of,
+    lag_from_state,
+    last_state,
+    merged_actions,
+    merged_state,
+)
 from fundperf.operators.dividends import dividends_by_action, dividends_by_day, dividends_per_fund_day
 from fundperf.operators.keys import daily_lookup, keyed_upsert, require_unique
 from fundperf.operators.positions import (
@@ -7,6 +15,7 @@ from fundperf.operators.positions import (
     net_trades,
     position_returns,
     position_snapshot,
+    position_state,
     position_trade_merge,
     position_values,
 )
@@ -14,6 +23,8 @@ from fundperf.operators.risk_free import excess, risk_free_fill
 from fundperf.operators.snapshots import for_funds, latest_snapshot, on_trading_days
 
 __all__ = [
+    "action_state",
+    "actions_of",
     "benchmark_join",
     "daily_lookup",
     "dividends_by_action",
@@ -22,13 +33,18 @@ __all__ = [
     "excess",
     "for_funds",
     "keyed_upsert",
+    "lag_from_state",
     "lag_state",
     "lagged_position_state",
+    "last_state",
     "latest_snapshot",
+    "merged_actions",
+    "merged_state",
     "net_trades",
     "on_trading_days",
     "position_returns",
     "position_snapshot",
+    "position_state",
     "position_trade_merge",
     "position_values",
     "require_unique",

@@ -135,12 +135,17 @@ def lag_state(merged: DataFrame) -> DataFrame:
 
 
 def lagged_position_state(merged: DataFrame) -> DataFrame:
-    """State before (``_0``) and after (``_1``) each day, with fallbacks for missing sides.
+    """State before (``_0``) and after (``_1``) each day, with fallbacks for missing sides."""
+    return position_state(lag_state(merged))
+
+
+def position_state(lagged: DataFrame) -> DataFrame:
+    """State before and after each day of merged rows that know their previous row.
 
     The side is the previous row's. Shares after the day are net of the day's trades, unless
     that leaves nothing; a row that only a trade produced counts as its shares reversed.
     """
-    return lag_state(merged).selectExpr(
+    return lagged.selectExpr(
         *POSITION_KEY,
         "action_id",
         "coalesce(previous_side, side) AS side",

@@ -66,10 +66,22 @@ def holding_frame(
     merged = position_trade_merge(
         scoped("positions"), scoped("trades"), dividends_by_action(scoped("dividends"))
     )
+    return returns_frame(tables, lagged_position_state(merged), start, end, funds, rf_fill)
+
+
+def returns_frame(
+    tables: TablesLike,
+    state: DataFrame,
+    start: str | date,
+    end: str | date,
+    funds: Sequence[str] | None = None,
+    rf_fill: str = "reference",
+) -> DataFrame:
+    """Holding series of a window from the state before and after each of its days."""
     days = day_span(start, end)
     window = in_window(start, end)
     values = on_trading_days(
-        position_values(lagged_position_state(merged)).filter(window),
+        position_values(state).filter(window),
         tables["calendar"].filter(window),
         days,
     )

@@ -63,10 +63,8 @@ def _fund_values(
     return require_unique(values, ["caldt", "fund"], "delta_nav")
 
 
-def total_daily_returns(
-    tables: TablesLike, start: str | date, end: str | date, rf_fill: str = "reference"
-) -> DataFrame:
-    """All funds as one series. Deposits and withdrawals are not taken out here."""
+def total_moves(tables: TablesLike, start: str | date, end: str | date) -> DataFrame:
+    """All funds as one series with dividends, without the risk-free rate. Deposits and withdrawals are not taken out here."""
     window = in_window(start, end)
     values = (
         _fund_values(tables, start, end)
@@ -75,19 +73,22 @@ def total_daily_returns(
     )
     # One row per day on the right: the day count bounds it.
     paid = broadcast_within(dividends_by_day(tables["dividends"].filter(window)), day_span(start, end))
-    series = _with_dividends(_moving_days(values), paid, ["caldt"])
+    return _with_dividends(_moving_days(values), paid, ["caldt"])
+
+
+def total_daily_returns(
+    tables: TablesLike, start: str | date, end: str | date, rf_fill: str = "reference"
+) -> DataFrame:
+    """The series of all funds together with excess returns."""
+    series = total_moves(tables, start, end)
     filled = risk_free_fill(series, tables["risk_free_rate"], start, end, rf_fill=rf_fill)
     return excess(filled, "return").select(*TOTAL_SERIES)
 
 
-def fund_daily_returns(
-    tables: TablesLike,
-    start: str | date,
-    end: str | date,
-    funds: Sequence[str] | None = None,
-    rf_fill: str = "reference",
+def fund_moves(
+    tables: TablesLike, start: str | date, end: str | date, funds: Sequence[str] | None = None
 ) -> DataFrame:
-    """Each fund's series, net of deposits and withdrawals; all funds in one pass."""
+    """Each fund's series with dividends, net of deposits and withdrawals, without the risk-free rate."""
     window = in_window(start, end)
     values = _fund_values(tables, start, end, funds).selectExpr(
         "caldt", "fund", "starting_value", "ending_value - deposits_withdrawals AS ending_value"
@@ -96,17 +97,26 @@ def fund_daily_returns(
     actions = dividends_by_action(for_funds(tables["dividends"], funds))
     paid = dividends_per_fund_day(actions.filter(window))
     bound = None if funds is None else day_span(start, end) * len(funds)
-    series = _with_dividends(_moving_days(values), broadcast_within(paid, bound), ["caldt", "fund"])
+    return _with_dividends(_moving_days(values), broadcast_within(paid, bound), ["caldt", "fund"])
+
+
+def fund_daily_returns(
+    tables: TablesLike,
+    start: str | date,
+    end: str | date,
+    funds: Sequence[str] | None = None,
+    rf_fill: str = "reference",
+) -> DataFrame:
+    """Each fund's series with excess returns; all funds in one pass."""
+    series = fund_moves(tables, start, end, funds)
     filled = risk_free_fill(
         series, tables["risk_free_rate"], start, end, partition=["fund"], rf_fill=rf_fill
     )
     return excess(filled, "return").select(*FUND_SERIES)
 
 
-def benchmark_frame(
-    tables: TablesLike, start: str | date, end: str | date, rf_fill: str = "reference"
-) -> DataFrame:
-    """The benchmark series with the dividend action behind each row."""
+def benchmark_moves(tables: TablesLike, start: str | date, end: str | date) -> DataFrame:
+    """The benchmark series with the dividend action behind each row, without the risk-free rate."""
     levels = require_unique(
         tables["benchmark"].select("caldt", "ending_value"), ["caldt"], "benchmark"
     )
@@ -119,12 +129,19 @@ def benchmark_frame(
         .filter(in_window(start, end))
         .filter("try_divide(ending_value, starting_value) <> 1")
     )
-    series = moves.join(actions, "caldt", "left").selectExpr(
+    return moves.join(actions, "caldt", "left").selectExpr(
         "*",
         "try_divide(dividends, ending_value) AS dividend_yield",
         "try_divide(ending_value, starting_value) - 1 AS return",
         "try_divide(ending_value + coalesce(dividends, 0D), starting_value) - 1 AS div_return",
     )
+
+
+def benchmark_frame(
+    tables: TablesLike, start: str | date, end: str | date, rf_fill: str = "reference"
+) -> DataFrame:
+    """The benchmark series with excess returns and the dividend action behind each row."""
+    series = benchmark_moves(tables, start, end)
     filled = risk_free_fill(
         series, tables["risk_free_rate"], start, end, tie_break=["action_id"], rf_fill=rf_fill
     )

@@ -9,18 +9,27 @@ from fundperf.sources.readers import (
 )
 from fundperf.sources.schemas import KEYS, SCHEMAS, conform
 from fundperf.sources.sinks import write_report, write_series, write_snapshot
+from fundperf.sources.storage import shared_folder, stored
+from fundperf.sources.versions import DataFile, StaleVersion, Version, VersionedTable, is_versioned
 
 __all__ = [
+    "DataFile",
     "KEYS",
     "SCHEMAS",
+    "StaleVersion",
     "Tables",
+    "Version",
+    "VersionedTable",
     "conform",
     "demo_tables",
+    "is_versioned",
     "jdbc_partitioning",
     "jdbc_settings",
     "jdbc_tables",
     "load_table",
     "parquet_tables",
+    "shared_folder",
+    "stored",
     "write_report",
     "write_series",
     "write_snapshot",

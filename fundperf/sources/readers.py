@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fundperf.functions.bounds import as_date
 from fundperf.sources.schemas import SCHEMAS, conform
+from fundperf.sources.versions import VersionedTable, is_versioned
 
 
 class Tables(Mapping):
@@ -43,9 +44,14 @@ def load_table(
 
 
 def parquet_tables(spark: SparkSession, root: str) -> Tables:
-    """All domain tables as ``<root>/<table>`` Parquet folders or ``.parquet`` files, not both of one table."""
+    """All domain tables as ``<root>/<table>`` Parquet folders or ``.parquet`` files, not both of one table.
+
+    A folder of published versions is read at the latest one.
+    """
 
     def build(name: str) -> DataFrame:
+        if is_versioned(spark, f"{root.rstrip('/')}/{name}"):
+            return conform(VersionedTable(spark, f"{root.rstrip('/')}/{name}").read(), name)
         pattern = f"{root.rstrip('/')}/{name}{{,.parquet}}"
         found = _matches(spark, pattern)
         if len(found) > 1:

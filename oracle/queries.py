@@ -67,6 +67,17 @@ _BENCHMARK_DOUBLES = (
 _ALL_MEASURES = "total_return volatility dividends alpha beta tracking_error sharpe_ratio information_ratio"
 _POSITION_DOUBLES = "shares price fx_rate"
 
+# Fresh targets for what is held on the last days, then those of one fund raised.
+_RAISED = """
+    (SELECT fund, ticker, CASE WHEN fund = 'quant' THEN CAST(horizon_date + 30 AS DATE) ELSE horizon_date END AS horizon_date,
+            CASE WHEN fund = 'quant' THEN target_price * 2 ELSE target_price END AS target_price
+     FROM (SELECT fund, ticker, CAST(MAX(caldt) + 180 AS DATE) AS horizon_date, MAX(price) * 1.25 AS target_price
+           FROM last_positions GROUP BY fund, ticker
+           UNION ALL
+           SELECT fund, ticker, horizon_date, target_price
+           FROM holding ANTI JOIN last_positions USING (fund, ticker)))"""
+_MONEY = "FLOOR(dividends*1e6+0.5)/1e6=dividends"
+
 _BODIES: dict[str, str] = {
     "total_daily_returns": rounded(
         "total_series", "caldt", "starting_value ending_value dividends ret=return rf_return xs=xs_return"
@@ -206,6 +217,30 @@ _BODIES: dict[str, str] = {
         "ret=return xs=xs_return b_ret=return_bmk b_div=div_return b_ret-b_rf=xs_return_bmk "
         "b_div-b_rf=xs_div_return",
     ),
+    "published_holding": rounded(_RAISED, "fund ticker horizon_date", "target_price"),
+    "published_holding_changes": rounded(
+        f"""(SELECT n.*, CASE WHEN h.fund IS NULL THEN 'insert' ELSE 'update' END AS change
+            FROM {_RAISED} n LEFT JOIN holding h USING (fund, ticker)
+            WHERE h.fund IS NULL OR n.horizon_date <> h.horizon_date OR n.target_price <> h.target_price)""",
+        "fund ticker horizon_date change",
+        "target_price",
+    ),
+    "published_portfolio": rounded(
+        """(SELECT v.version, p.* FROM portfolio p, (VALUES (0::BIGINT), (1), (2)) v(version)
+            WHERE p.fund <> 'grad' OR v.version = 0
+            UNION ALL
+            SELECT version, 'grad', 0.09::DOUBLE, 0.04::DOUBLE FROM (VALUES (1), (2)) v(version)
+            UNION ALL
+            SELECT 2, 'omega', 0.07::DOUBLE, NULL)""",
+        "version fund",
+        "benchmark_return target_tracking_error",
+    ),
+    "carried_holding_state": rounded(
+        """(SELECT * FROM merged WHERE caldt <= DATE '2001-05-31'
+            QUALIFY row_number() OVER (PARTITION BY fund, ticker ORDER BY caldt DESC, action_id DESC) = 1)""",
+        "fund ticker caldt action_id side",
+        "shares_1 price_1 fx_rate_1",
+    ),
     "op_volatility": f"SELECT fund, {six(annual_std('ret'), 10)} AS volatility FROM fund_series GROUP BY fund",
     "op_tracking_error": f"""
         SELECT fund, {six(annual_std("xs - xs_div"), 10)} AS tracking_error FROM fund_joined GROUP BY fund""",
@@ -233,4 +268,21 @@ _BODIES: dict[str, str] = {
     ),
 }
 
-ORACLES: dict[str, str] = {name: statement(body) for name, body in _BODIES.items()}
+def within(body: str, start: str, end: str) -> str:
+    """The statement of a body over another window."""
+    return statement(body).replace(START, f"DATE '{start}'").replace(END, f"DATE '{end}'")
+
+
+_MONTH = within(_BODIES["all_holdings_daily_returns"], "2001-06-01", "2001-06-29")
+_CUT = ("1996-02-14", "2000-09-20")
+_FUND_MONEY = (_ALL_MEASURES + " total_return_bmk").replace("dividends", _MONEY)
+
+ORACLES: dict[str, str] = {name: statement(body) for name, body in _BODIES.items()} | {
+    "carried_holding_returns": _MONTH,
+    "carried_after_correction": _MONTH,
+    "stored_fund_performance": statement(rounded("fund_stats", "fund", _FUND_MONEY, 10)),
+    "stored_total_performance": within(
+        rounded("total_stats", "", _ALL_MEASURES.replace("dividends", _MONEY), 10), *_CUT
+    ),
+    "stored_performance_report": within(_BODIES["performance_report"], *_CUT),
+}

@@ -1,0 +1,120 @@
+"""Measures from stored monthly states against those over the days themselves."""
+
+from __future__ import annotations
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from fundperf import plans
+from fundperf.functions.moments import Compound, Moments, Pairs, merged_states
+from fundperf.plans import stored_statistics as stats
+from fundperf.sources import demo_tables, shared_folder
+from tests.compare import spark_rows
+from tests.frames import make_tables
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def assert_close(left, right, places=1e-12):
+    names, rows = spark_rows(left)
+    other_names, others = spark_rows(right)
+    assert names == other_names and len(rows) == len(others)
+    for a, b in zip(rows, others):
+        for name, x, y in zip(names, a, b):
+            if isinstance(x, float) and isinstance(y, float):
+                assert math.isclose(x, y, rel_tol=1e-9 if name == "dividends" else 0, abs_tol=places), (name, x, y)
+            else:
+                assert x == y, (name, x, y)
+
+
+@pytest.fixture(scope="module")
+def demo(spark):
+    tables = demo_tables(spark, SF_DIR)
+    return tables, stats.store_statistics(tables, shared_folder(spark))
+
+
+# Cutting months at both ends, inside one month, one whole month, over a turn of the year, ending on a month's last day.
+WINDOWS = [("1996-02-14", "2000-09-20"), ("1999-03-05", "1999-03-20"), ("1997-01-01", "1997-01-31"), ("1998-12-31", "1999-01-04"),
+           ("1999-01-15", "1999-04-30")]
+
+
+@pytest.mark.parametrize("window", WINDOWS)
+def test_measures_of_any_window_equal_the_direct_ones(demo, window):
+    tables, store = demo
+    assert_close(stats.stored_fund_performance(store, *window), plans.fund_performance(tables, *window))
+    assert_close(stats.stored_total_performance(store, *window), plans.total_performance(tables, *window))
+
+
+def test_the_report_and_a_choice_of_funds(demo):
+    tables, store = demo
+    window = WINDOWS[0]
+    assert_close(stats.stored_performance_report(store, *window), plans.performance_report(tables, *window))
+    chosen = ["grad", "quant"]
+    assert_close(
+        stats.stored_fund_performance(store, *window, chosen), plans.fund_performance(tables, *window, chosen)
+    )
+
+
+def test_a_loaded_store_gives_the_same(spark, tmp_path):
+    rows = [("2024-01-%02d" % d, "grad", 100.0, 100.0 + d % 5 - 2.5, 0.0) for d in range(2, 29)]
+    tables = make_tables(
+        spark, delta_nav=rows + [("2024-02-%02d" % d, "grad", 100.0, 101.0, 0.0) for d in range(1, 20)],
+        benchmark=[("2024-01-%02d" % d, 50.0 + d % 3) for d in range(1, 31)],
+        risk_free_rate=[("2024-01-%02d" % d, 0.0001 * d) for d in range(3, 25)],
+    )
+    made = stats.store_statistics(tables, str(tmp_path / "store"))
+    loaded = stats.StoredStatistics.load(spark, str(tmp_path / "store"))
+    window = ("2024-01-05", "2024-02-10")
+    direct = plans.fund_performance(tables, *window)
+    assert_close(stats.stored_fund_performance(made, *window), direct)
+    assert_close(stats.stored_fund_performance(loaded, *window), direct)
+
+
+def test_a_rate_without_a_value_fails(spark, tmp_path):
+    tables = make_tables(
+        spark, delta_nav=[("2024-01-02", "grad", 100.0, 101.0, 0.0)], risk_free_rate=[("2024-01-02", None)]
+    )
+    with pytest.raises(Exception, match="without a value"):
+        stats.store_statistics(tables, str(tmp_path / "store"))
+
+
+def test_whole_months_are_read_from_states_alone(spark, demo):
+    _, store = demo
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        plan = stats.stored_fund_performance(store, "1996-02-14", "2000-09-20")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "/days]" in line]
+    assert scans and all("month#" in line.split("PartitionFilters")[1] and "1996-02" in line for line in scans)
+
+
+def test_states_merge_to_the_statistics_of_all_rows(spark):
+    rows = [(i % 3, i % 7, float(i * i % 11) / 7 if i % 5 else None, float(i * 3 % 13) / 9) for i in range(200)]
+    frame = spark.createDataFrame(rows, "key int, part int, y double, x double").withColumn(
+        "day", F.expr("date_add(DATE'2024-01-01', part)")
+    )
+    moments, pairs, growth = Moments("m"), Pairs("p"), Compound("g")
+    partial = frame.groupBy("key", "part").agg(
+        *moments.partial(F.col("y")), *pairs.partial(F.col("y"), F.col("x")), *growth.partial(F.col("y"), F.col("day"))
+    )
+    got = merged_states(partial, ["key"], [moments, pairs, growth]).select(
+        "key", moments.deviation().alias("std"), pairs.beta().alias("beta"), pairs.alpha().alias("alpha"),
+        F.col("m_mean").alias("mean"), F.col("g_growth").alias("growth"),
+    )
+    direct = frame.groupBy("key").agg(
+        F.stddev_samp("y").alias("std"), F.regr_slope("y", "x").alias("beta"), F.regr_intercept("y", "x").alias("alpha"),
+        F.avg("y").alias("mean"), F.product(F.col("y") + 1.0).alias("growth"),
+    )
+    for a, b in zip(spark_rows(got)[1], spark_rows(direct)[1]):
+        assert all(math.isclose(x, y, rel_tol=1e-12) for x, y in zip(a, b))
+
+
+def test_states_of_nothing_and_of_one_row(spark):
+    frame = spark.createDataFrame([(1, 2.0, 1.0), (2, None, 1.0), (3, 1.0, 5.0), (3, 2.0, 5.0)], "key int, y double, x double")
+    moments, pairs = Moments("m"), Pairs("p")
+    partial = frame.groupBy("key", "y").agg(*moments.partial(F.col("y")), *pairs.partial(F.col("y"), F.col("x")))
+    got = merged_states(partial, ["key"], [moments, pairs]).orderBy("key").select(moments.deviation(), pairs.beta(), "m_mean").collect()
+    assert [tuple(r) for r in got] == [(None, None, 2.0), (None, None, None), (math.sqrt(0.5), None, 1.5)]
