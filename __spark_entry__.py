@@ -17,7 +17,7 @@ from fundperf import operators, plans  # noqa: E402
 from fundperf.functions import stats  # noqa: E402
 from fundperf.functions.bounds import in_window  # noqa: E402
 from fundperf.operators.dividends import dividends_by_action  # noqa: E402
-from fundperf.plans import carried, published, stored_statistics  # noqa: E402
+from fundperf.plans import carried, laid_out, published, stored_statistics  # noqa: E402
 from fundperf.plans.performance import with_benchmark  # noqa: E402
 from fundperf.plans.series import cumulative_return  # noqa: E402
 from fundperf.sources import Tables, VersionedTable, demo_tables, shared_folder  # noqa: E402
@@ -35,6 +35,8 @@ FIRST_STATE, STATE_DAY, LAST_DAY = "2001-04-30", "2001-05-31", "2001-06-29"
 # A window that cuts months at both ends.
 CUT_START, CUT_END = "1996-02-14", "2000-09-20"
 HOLDING_FILES = 8
+# Buckets and folders of laid-out tables; the test tables are small, so a folder holds a year.
+BUCKETS, PERIOD = 8, "year"
 
 
 def _rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -135,6 +137,14 @@ def _carried_after_correction(t: Tables) -> DataFrame:
     return carried.holding_returns_from(t, state, LAST_DAY)
 
 
+def _laid_out(t: Tables) -> laid_out.LaidOut:
+    return laid_out.store_merged_days(t, shared_folder(t["positions"].sparkSession), BUCKETS, PERIOD)
+
+
+def _laid_out_positions(t: Tables) -> laid_out.LaidOut:
+    return laid_out.store_positions(t, shared_folder(t["positions"].sparkSession), 1, PERIOD)
+
+
 def _stored(t: Tables) -> stored_statistics.StoredStatistics:
     return stored_statistics.store_statistics(t, shared_folder(t["delta_nav"].sparkSession))
 
@@ -245,13 +255,18 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "trading_day_filter": lambda t: operators.on_trading_days(t["delta_nav"], t["calendar"]),
     "latest_snapshot": lambda t: operators.latest_snapshot(t["positions"]),
     "benchmark_join": _benchmark_join,
-    # Published versions, carried state and stored statistics
+    # Published versions, carried state, laid-out history and stored statistics
     "published_holding": lambda t: _published_targets(t).read(),
     "published_holding_changes": lambda t: _published_targets(t).changes(0),
     "published_portfolio": _published_portfolio,
     "carried_holding_state": lambda t: _carried_state(t).holdings,
     "carried_holding_returns": lambda t: carried.holding_returns_from(t, _carried_state(t), LAST_DAY),
     "carried_after_correction": _carried_after_correction,
+    "laid_out_holding_returns": lambda t: laid_out.holding_returns_laid_out(t, _laid_out(t), START, END),
+    "laid_out_latest_snapshot": lambda t: laid_out.latest_rows(_laid_out_positions(t)),
+    "laid_out_holdings_performance": lambda t: laid_out.holdings_performance_laid_out(
+        t, _laid_out(t), _laid_out_positions(t), START, END
+    ),
     "stored_fund_performance": lambda t: _six_places(
         stored_statistics.stored_fund_performance(_stored(t), START, END), "dividends"
     ),
@@ -276,7 +291,7 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
 LIBRARY = tuple(_QUERIES)
 
 # Statistics are small numbers: more places of them are compared than the usual six.
-PLACES = {"holdings_performance": 8} | dict.fromkeys(
+PLACES = {"holdings_performance": 8, "laid_out_holdings_performance": 8} | dict.fromkeys(
     (
         "total_performance",
         "fund_performance",

@@ -183,6 +183,18 @@ def holdings_performance(
     """
     current = current_ticker_rows(tables, funds).distinct()
     held = reported_holdings(tables, start, end, funds, rf_fill, only=current)
+    return holdings_statistics(tables, held, start, end, rf_fill, benchmark_series)
+
+
+def holdings_statistics(
+    tables: TablesLike,
+    held: DataFrame,
+    start: str | date,
+    end: str | date,
+    rf_fill: str = "reference",
+    benchmark_series: DataFrame | None = None,
+) -> DataFrame:
+    """One line per holding of a daily holding series."""
     if benchmark_series is None:
         benchmark_series = benchmark_daily_returns(tables, start, end, rf_fill)
     joined = benchmark_join(held, benchmark_series, ("div_return", "xs_div_return"))

@@ -1,4 +1,5 @@
 from fundperf.sources.demo import demo_tables
+from fundperf.sources.layout import LaidOut, append_laid_out, open_laid_out, write_laid_out
 from fundperf.sources.readers import (
     Tables,
     jdbc_partitioning,
@@ -15,11 +16,13 @@ from fundperf.sources.versions import DataFile, StaleVersion, Version, Versioned
 __all__ = [
     "DataFile",
     "KEYS",
+    "LaidOut",
     "SCHEMAS",
     "StaleVersion",
     "Tables",
     "Version",
     "VersionedTable",
+    "append_laid_out",
     "conform",
     "demo_tables",
     "is_versioned",
@@ -27,9 +30,11 @@ __all__ = [
     "jdbc_settings",
     "jdbc_tables",
     "load_table",
+    "open_laid_out",
     "parquet_tables",
     "shared_folder",
     "stored",
+    "write_laid_out",
     "write_report",
     "write_series",
     "write_snapshot",

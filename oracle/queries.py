@@ -280,6 +280,9 @@ _FUND_MONEY = (_ALL_MEASURES + " total_return_bmk").replace("dividends", _MONEY)
 ORACLES: dict[str, str] = {name: statement(body) for name, body in _BODIES.items()} | {
     "carried_holding_returns": _MONTH,
     "carried_after_correction": _MONTH,
+    "laid_out_holding_returns": statement(_BODIES["all_holdings_daily_returns"]),
+    "laid_out_latest_snapshot": statement(_BODIES["latest_snapshot"]),
+    "laid_out_holdings_performance": statement(_BODIES["holdings_performance"]),
     "stored_fund_performance": statement(rounded("fund_stats", "fund", _FUND_MONEY, 10)),
     "stored_total_performance": within(
         rounded("total_stats", "", _ALL_MEASURES.replace("dividends", _MONEY), 10), *_CUT
