@@ -35,6 +35,7 @@ FIRST_STATE, STATE_DAY, LAST_DAY = "2001-04-30", "2001-05-31", "2001-06-29"
 # A window that cuts months at both ends.
 CUT_START, CUT_END = "1996-02-14", "2000-09-20"
 HOLDING_FILES = 8
+LAG_COLUMNS = ("caldt", "fund", "ticker", "action_id", "previous_side", "previous_shares", "previous_price", "previous_fx_rate")
 # Buckets and folders of laid-out tables; the test tables are small, so a folder holds a year.
 BUCKETS, PERIOD = 8, "year"
 
@@ -186,16 +187,7 @@ def _ols(t: Tables) -> DataFrame:
 
 
 def _lag_state(t: Tables) -> DataFrame:
-    return operators.lag_state(_merge(t)).select(
-        "caldt",
-        "fund",
-        "ticker",
-        "action_id",
-        "previous_side",
-        "previous_shares",
-        "previous_price",
-        "previous_fx_rate",
-    )
+    return operators.lag_state(_merge(t)).select(*LAG_COLUMNS)
 
 
 def _cumulative_return(t: Tables) -> DataFrame:
@@ -274,6 +266,11 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
         stored_statistics.stored_total_performance(_stored(t), CUT_START, CUT_END), "dividends"
     ),
     "stored_performance_report": lambda t: stored_statistics.stored_performance_report(_stored(t), CUT_START, CUT_END),
+    # Long windows in pieces, exact sums, several regressors
+    "sliced_lag_state": lambda t: operators.lag_state_sliced(_merge(t)).select(*LAG_COLUMNS),
+    "scanned_total_return_series": _windowed(plans.total_return_series_scanned),
+    "exact_dividends_by_day": lambda t: operators.dividends_by_day(t["dividends"], exact=True),
+    "fund_factor_model": _windowed(plans.fund_factor_model),
     # Single measures
     "op_volatility": _volatility,
     "op_tracking_error": _tracking_error,
@@ -291,7 +288,7 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
 LIBRARY = tuple(_QUERIES)
 
 # Statistics are small numbers: more places of them are compared than the usual six.
-PLACES = {"holdings_performance": 8, "laid_out_holdings_performance": 8} | dict.fromkeys(
+PLACES = {"holdings_performance": 8, "laid_out_holdings_performance": 8, "fund_factor_model": 8} | dict.fromkeys(
     (
         "total_performance",
         "fund_performance",

@@ -16,8 +16,13 @@ def header(name: str) -> str:
 
 
 def as_number(value: Column, decimals: int = 2) -> Column:
-    """Fixed decimals with thousands separators; a tiny negative keeps its sign."""
-    return F.format_number(value, decimals)
+    """Fixed decimals with thousands separators, rounded half away from zero as written; a tiny negative keeps its sign.
+
+    Rounded before it is formatted: the format alone rounds the binary value, which turns 12.345 into 12.34.
+    """
+    rounded = F.round(value, decimals)
+    signed = F.when((value < 0) & (rounded == 0), F.lit(-0.0)).otherwise(rounded)
+    return F.format_number(signed, decimals)
 
 
 def as_percent(value: Column, decimals: int = 2) -> Column:

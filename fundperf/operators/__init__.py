@@ -20,6 +20,7 @@ from fundperf.operators.positions import (
     position_values,
 )
 from fundperf.operators.risk_free import excess, risk_free_fill
+from fundperf.operators.sliced import lag_state_sliced, previous_value, running_returns
 from fundperf.operators.snapshots import for_funds, latest_snapshot, on_trading_days
 
 __all__ = [
@@ -35,6 +36,7 @@ __all__ = [
     "keyed_upsert",
     "lag_from_state",
     "lag_state",
+    "lag_state_sliced",
     "lagged_position_state",
     "last_state",
     "latest_snapshot",
@@ -47,6 +49,8 @@ __all__ = [
     "position_state",
     "position_trade_merge",
     "position_values",
+    "previous_value",
     "require_unique",
     "risk_free_fill",
+    "running_returns",
 ]

@@ -11,6 +11,7 @@ from fundperf.constants import (
     OPTION_CLASS,
     POSITION_KEY,
 )
+from fundperf.functions.exact import avg_of, sum_of
 
 # Dividend actions may put several rows on one day of a holding; the action settles their order.
 HISTORY = "(PARTITION BY fund, ticker ORDER BY caldt, action_id)"
@@ -30,31 +31,30 @@ def _eligible_trades(trades: DataFrame) -> DataFrame:
     )
 
 
-def position_snapshot(positions: DataFrame) -> DataFrame:
-    """Average state per (day, fund, ticker) without options; side -1 unless shares are positive."""
-    return (
-        _eligible_positions(positions)
-        .groupBy(*POSITION_KEY)
-        .agg(
-            F.expr(f"{_sign('avg(shares)')} AS side"),
-            F.avg("shares").alias("shares_1"),
-            F.avg("price").alias("price_1"),
-            F.avg("fx_rate").alias("fx_rate_1"),
-        )
+def position_snapshot(positions: DataFrame, exact: bool = False) -> DataFrame:
+    """Average state per (day, fund, ticker) without options; side -1 unless shares are positive.
+
+    With ``exact`` the averages don't depend on how the rows are partitioned.
+    """
+    averages = _eligible_positions(positions).groupBy(*POSITION_KEY).agg(
+        avg_of(F.col("shares"), exact).alias("shares_1"),
+        avg_of(F.col("price"), exact).alias("price_1"),
+        avg_of(F.col("fx_rate"), exact).alias("fx_rate_1"),
     )
+    return averages.selectExpr(*POSITION_KEY, f"{_sign('shares_1')} AS side", "shares_1", "price_1", "fx_rate_1")
 
 
-def net_trades(trades: DataFrame) -> DataFrame:
-    """Net shares and average price per (day, fund, ticker); trades that net to zero vanish."""
-    return (
-        _eligible_trades(trades)
-        .groupBy(*POSITION_KEY)
-        .agg(
-            F.expr(f"{_sign('sum(shares_traded)')} AS trade_sign"),
-            F.sum("shares_traded").alias("shares_traded"),
-            F.avg("price_traded").alias("trade_price"),
-        )
-        .filter("shares_traded <> 0")
+def net_trades(trades: DataFrame, exact: bool = False) -> DataFrame:
+    """Net shares and average price per (day, fund, ticker); trades that net to zero vanish.
+
+    With ``exact`` opposite trades of decimal shares net to zero however the rows are partitioned.
+    """
+    net = _eligible_trades(trades).groupBy(*POSITION_KEY).agg(
+        sum_of(F.col("shares_traded"), exact).alias("shares_traded"),
+        avg_of(F.col("price_traded"), exact).alias("trade_price"),
+    )
+    return net.filter("shares_traded <> 0").selectExpr(
+        *POSITION_KEY, f"{_sign('shares_traded')} AS trade_sign", "shares_traded", "trade_price"
     )
 
 

@@ -1,4 +1,5 @@
 from fundperf.plans.holdings import all_holdings_daily_returns, holding_daily_returns
+from fundperf.plans.factors import fund_factor_model
 from fundperf.plans.lookups import (
     current_holdings,
     current_tickers,
@@ -26,7 +27,12 @@ from fundperf.plans.reports import (
     write_annual_report,
 )
 from fundperf.plans.returns import benchmark_daily_returns, fund_daily_returns, total_daily_returns
-from fundperf.plans.series import combined_return_series, fund_return_series, total_return_series
+from fundperf.plans.series import (
+    combined_return_series,
+    fund_return_series,
+    total_return_series,
+    total_return_series_scanned,
+)
 
 __all__ = [
     "all_holdings_daily_returns",
@@ -36,6 +42,7 @@ __all__ = [
     "current_tickers",
     "dividend_history",
     "fund_daily_returns",
+    "fund_factor_model",
     "fund_performance",
     "fund_return_series",
     "holding_daily_returns",
@@ -50,6 +57,7 @@ __all__ = [
     "total_daily_returns",
     "total_performance",
     "total_return_series",
+    "total_return_series_scanned",
     "trade_history",
     "traded_tickers",
     "upsert_holding",

@@ -13,6 +13,7 @@ from fundperf.functions.bounds import broadcast_within, day_span, in_window
 from fundperf.operators.dividends import dividends_by_action, dividends_by_day, dividends_per_fund_day
 from fundperf.operators.keys import require_unique
 from fundperf.operators.risk_free import excess, risk_free_fill
+from fundperf.operators.sliced import previous_value
 from fundperf.operators.snapshots import for_funds
 
 TablesLike = Mapping[str, DataFrame]
@@ -115,8 +116,13 @@ def fund_daily_returns(
     return excess(filled, "return").select(*FUND_SERIES)
 
 
-def benchmark_moves(tables: TablesLike, start: str | date, end: str | date) -> DataFrame:
-    """The benchmark series with the dividend action behind each row, without the risk-free rate."""
+def benchmark_moves(
+    tables: TablesLike, start: str | date, end: str | date, pieces: int | None = None
+) -> DataFrame:
+    """The benchmark series with the dividend action behind each row, without the risk-free rate.
+
+    With ``pieces`` the previous levels are found in as many ranges of days, instead of one task.
+    """
     levels = require_unique(
         tables["benchmark"].select("caldt", "ending_value"), ["caldt"], "benchmark"
     )
@@ -124,11 +130,11 @@ def benchmark_moves(tables: TablesLike, start: str | date, end: str | date) -> D
         for_funds(tables["dividends"], [BENCHMARK_PROXY_FUND], [BENCHMARK_PROXY_TICKER])
     ).selectExpr("caldt", "action_id", "action_rate AS dividends")
     # The previous level comes from the whole history, one row per day; the window cut follows.
-    moves = (
-        levels.selectExpr("*", "lag(ending_value) OVER (ORDER BY caldt) AS starting_value")
-        .filter(in_window(start, end))
-        .filter("try_divide(ending_value, starting_value) <> 1")
-    )
+    if pieces is None:
+        followed = levels.selectExpr("*", "lag(ending_value) OVER (ORDER BY caldt) AS starting_value")
+    else:
+        followed = previous_value(levels, "ending_value", "starting_value", pieces=pieces)
+    moves = followed.filter(in_window(start, end)).filter("try_divide(ending_value, starting_value) <> 1")
     return moves.join(actions, "caldt", "left").selectExpr(
         "*",
         "try_divide(dividends, ending_value) AS dividend_yield",

@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundperf.constants import REPORT_FUNDS
+from fundperf.functions.bounds import as_date
 from fundperf.functions.stats import running_return
 from fundperf.operators.benchmark import benchmark_join
+from fundperf.operators.sliced import running_returns
 from fundperf.plans.returns import (
     TablesLike,
     benchmark_frame,
+    benchmark_moves,
     fund_daily_returns,
     total_daily_returns,
+    total_moves,
 )
 
 
@@ -59,6 +63,20 @@ def total_return_series(
     return _with_benchmark_line(total_daily_returns(tables, start, end, rf_fill), benchmark, [])
 
 
+def total_return_series_scanned(
+    tables: TablesLike, start: str | date, end: str | date, pieces: int = 8
+) -> DataFrame:
+    """The rows of ``total_return_series`` by prefix scan over ranges of days; a task has one range, none has all rows."""
+    benchmark = benchmark_moves(tables, start, end, pieces)
+    joined = benchmark_join(total_moves(tables, start, end), benchmark, ("div_return", "action_id"))
+    lines = {
+        "cumulative_return": F.col("return"),
+        "cumulative_return_bmk": F.coalesce(F.col("div_return"), F.lit(0.0)),
+    }
+    scanned = running_returns(joined, lines, ("caldt", "action_id"), pieces, (as_date(start), as_date(end)))
+    return scanned.select("caldt", *[(F.col(name) * 100.0).alias(name) for name in lines])
+
+
 def fund_return_series(
     tables: TablesLike,
     start: str | date,

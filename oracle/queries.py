@@ -43,11 +43,11 @@ def rounded(source: str, plain: str, doubles: str, places: int = 6) -> str:
 
 
 def _percent(value: str) -> str:
-    return f"format('{{:,.2f}}%', {value} * 100)"
+    return f"format('{{:,.2f}}%', ROUND({value} * 100, 2))"
 
 
 def _number(value: str) -> str:
-    return f"format('{{:,.2f}}', {value})"
+    return f"format('{{:,.2f}}', ROUND({value}, 2))"
 
 
 _HOLDING_PLAIN = "caldt fund ticker side"
@@ -235,6 +235,28 @@ _BODIES: dict[str, str] = {
         "version fund",
         "benchmark_return target_tracking_error",
     ),
+    "exact_dividends_by_day": rounded(
+        """(SELECT caldt, SUM(a::DECIMAL(38, 9))::DOUBLE AS amount
+            FROM (SELECT caldt, SUM(gross_amount::DECIMAL(28, 9))::DOUBLE / COUNT(gross_amount) AS a
+                  FROM dividends GROUP BY caldt, fund, ticker)
+            GROUP BY caldt)""",
+        "caldt",
+        "amount=dividends",
+    ),
+    "fund_factor_model": rounded(
+        """(SELECT fund, n, my - b1 * m1 - b2 * m2 AS intercept, b1, b2, (b1 * s1y + b2 * s2y) / syy AS r
+            FROM (SELECT *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1,
+                         (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2
+                  FROM (SELECT fund, COUNT(*) AS n, AVG(y) AS my, AVG(x1) AS m1, AVG(x2) AS m2, var_pop(y) AS syy,
+                               var_pop(x1) AS s11, var_pop(x2) AS s22, covar_pop(x1, x2) AS s12,
+                               covar_pop(x1, y) AS s1y, covar_pop(x2, y) AS s2y
+                        FROM (SELECT fund, xs AS y, xs_bmk AS x1, dividends / NULLIF(starting_value, 0) AS x2
+                              FROM fund_joined)
+                        WHERE y IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL GROUP BY fund)))""",
+        "fund n",
+        "intercept b1=beta_xs_return_bmk b2=beta_payout r=r_squared",
+        8,
+    ),
     "carried_holding_state": rounded(
         """(SELECT * FROM merged WHERE caldt <= DATE '2001-05-31'
             QUALIFY row_number() OVER (PARTITION BY fund, ticker ORDER BY caldt DESC, action_id DESC) = 1)""",
@@ -280,6 +302,8 @@ _FUND_MONEY = (_ALL_MEASURES + " total_return_bmk").replace("dividends", _MONEY)
 ORACLES: dict[str, str] = {name: statement(body) for name, body in _BODIES.items()} | {
     "carried_holding_returns": _MONTH,
     "carried_after_correction": _MONTH,
+    "sliced_lag_state": statement(_BODIES["op_lag_state"]),
+    "scanned_total_return_series": statement(_BODIES["total_return_series"]),
     "laid_out_holding_returns": statement(_BODIES["all_holdings_daily_returns"]),
     "laid_out_latest_snapshot": statement(_BODIES["latest_snapshot"]),
     "laid_out_holdings_performance": statement(_BODIES["holdings_performance"]),

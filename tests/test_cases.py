@@ -321,6 +321,7 @@ def test_text_formats(spark):
     )
     rows = {r[0]: r[1:] for r in frame.select("name", titled(F.col("name")), as_percent(F.col("v")), as_number(F.col("v"))).collect()}
     assert rows["brigham_capital"][0] == "Brigham Capital" and rows["all"][0] == "All"
+    assert rows["brigham_capital"][1:] == ("12.35%", "0.12")
     assert rows["a_b_c"] == ("A B_c", "-1,250.00%", "-12.50")
     assert rows["all"][1:] == ("-0.00%", "-0.00")
     assert rows["x"][1:] == (None, None)
