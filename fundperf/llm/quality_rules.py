@@ -3,8 +3,9 @@
 Measures of a document are expressions over its own text. Two rules reject at once (too few words, too many
 repeated ones). Three softer rules count as failures: many symbols, many repeated lines, odd word lengths.
 Failures are aggregated by host (``source``); a host's failure rate is shrunk towards the rate of all hosts
-by a beta prior whose strength is fitted to the spread between hosts. A document that fails a soft rule is
-rejected if its host's shrunken rate is above STRICT; documents that fail none stay on any host.
+by a beta prior whose strength is fitted to the spread between hosts. A host is bad if its shrunken rate lies more than
+DEVIATIONS posterior deviations above the rate of all; so the prior decides how much evidence that takes. A document
+that fails a soft rule is rejected on a bad host and stays on others; documents that fail none stay on any host.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ MIN_WORDS = 50
 MAX_REPEATED = 50
 #: Soft rules: symbols per 100 words, repeated lines per 100 words, mean characters of a word.
 MAX_SYMBOLS, MAX_DUP_LINES, MEAN_LOW, MEAN_HIGH = 10, 10, 2, 12
-#: A host's shrunken failure rate from which its failing documents go.
-STRICT = 0.05
+#: Posterior deviations above the rate of all hosts from which a host is bad: it is then worse than all with a probability of 0.6.
+DEVIATIONS = 0.25
 #: Strength of the prior where the spread between hosts doesn't give one.
 PRIOR_ROWS = 20.0
 WORD = r"[^\x20\x09-\x0D]"
@@ -85,11 +86,12 @@ def failures(rows: DataFrame) -> DataFrame:
 
 
 def host_rates(rows: DataFrame) -> DataFrame:
-    """host, n, failed, shrunken rate: failures over both kinds of rules, under one fitted beta prior.
+    """host, n, failed, shrunken rate and whether the host is bad: failures over both kinds of rules, under one fitted beta prior.
 
     The prior's mean is the rate over all documents. With m hosts, N documents and a weighted spread S of
     the host rates, the moments give the variance between hosts v and the prior's strength mean(1-mean)/v - 1,
-    at least one row. Where hosts don't differ by more than chance, or there is one, it is PRIOR_ROWS.
+    at least one row. Where hosts don't differ by more than chance, or there is one, it is PRIOR_ROWS. A host's posterior
+    has the shrunken rate r as mean and r(1-r)/(n+strength+1) as variance.
     """
     hosts = rows.groupBy(F.col("source").alias("host")).agg(
         F.count("*").alias("n"),
@@ -112,12 +114,12 @@ def host_rates(rows: DataFrame) -> DataFrame:
         "mean", F.when(variance > 0, F.greatest(strength, F.lit(1.0))).otherwise(F.lit(PRIOR_ROWS)).alias("strength")
     )
     # One row, by its aggregate without keys.
-    return hosts.join(F.broadcast(prior), how="cross").select(
-        "host",
-        "n",
-        "failed",
-        ((F.col("failed") + F.col("strength") * mean) / (F.col("n") + F.col("strength"))).alias("rate"),
+    rates = hosts.join(F.broadcast(prior), how="cross").withColumn(
+        "rate", (F.col("failed") + F.col("strength") * mean) / (F.col("n") + F.col("strength"))
     )
+    rate = F.col("rate")
+    deviation = F.sqrt(rate * (1 - rate) / (F.col("n") + F.col("strength") + 1))
+    return rates.select("host", "n", "failed", "rate", (rate - mean > DEVIATIONS * deviation).alias("bad"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -129,8 +131,8 @@ def judge(docs: DataFrame) -> DataFrame:
     """
     rows = cut(failures(measured(docs.select("doc_id", "text", "source", version_of().alias("version")))))
     hosts = cut(host_rates(rows))
-    strict = (F.col("rate") > STRICT) & F.col("soft_failed")
-    return rows.join(hosts.select("host", "rate"), F.col("source").eqNullSafe(F.col("host"))).withColumn(
+    strict = F.col("bad") & F.col("soft_failed")
+    return rows.join(hosts.select("host", "rate", "bad"), F.col("source").eqNullSafe(F.col("host"))).withColumn(
         "kept", ~F.col("base_failed") & ~strict
     )
 
@@ -194,9 +196,10 @@ WITH texts AS (
     SELECT mean, CASE WHEN variance > 0 THEN greatest(mean * (1 - mean) / variance - 1, 1.0) ELSE 20.0 END AS strength
     FROM moments
 ), rates AS (
-    SELECT host, (failed + strength * mean) / (n + strength) AS rate FROM hosts, prior
+    SELECT host, rate - mean > 0.25 * sqrt(rate * (1 - rate) / (n + strength + 1)) AS bad
+    FROM (SELECT *, (failed + strength * mean) / (n + strength) AS rate FROM hosts, prior)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    NOT base_failed AND NOT (rate > 0.05 AND soft_failed) AS kept, soft_failed
+    NOT base_failed AND NOT (bad AND soft_failed) AS kept, soft_failed
 FROM verdicts JOIN rates ON source IS NOT DISTINCT FROM host
 """
