@@ -115,7 +115,7 @@ NUMBER_BUCKETS = 4096
 
 
 def with_row_number(df: DataFrame, key: list[str], name: str) -> tuple[DataFrame, int]:
-    """Gapless row numbers 0.. that depend on the rows' ``key`` columns alone, and the row count.
+    """(row, ``name``): each row as a struct with a gapless number 0.. that depends on its ``key`` columns alone, and the row count.
 
     Rows go to hash buckets; bucket counts (at most NUMBER_BUCKETS, on the driver) give each bucket its
     first number, and a window numbers the rows of a bucket by hash and key. Rows that agree in the whole
@@ -123,18 +123,16 @@ def with_row_number(df: DataFrame, key: list[str], name: str) -> tuple[DataFrame
     """
     from pyspark.sql import Window
 
-    digest = F.xxhash64(*key)
-    bucket = F.pmod(digest, F.lit(NUMBER_BUCKETS)).cast("int")
-    keyed = df.withColumns({"_digest": digest, "_bucket": bucket})
-    counts = {r["_bucket"]: r["count"] for r in keyed.groupBy("_bucket").count().collect()}
+    digest = F.xxhash64(*[f"row.`{column}`" for column in key])
+    bucket = F.pmod(F.col("digest"), F.lit(NUMBER_BUCKETS)).cast("int")
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")).withColumn("digest", digest)
+    keyed = keyed.withColumn("bucket", bucket)
+    counts = {r["bucket"]: r["count"] for r in keyed.groupBy("bucket").count().collect()}
     starts, total = [], 0
     for b in sorted(counts):
         starts.append((b, total))
         total += counts[b]
-    first = df.sparkSession.createDataFrame(starts, "_bucket int, _first long")
-    within = Window.partitionBy("_bucket").orderBy("_digest", *key)
-    numbered = keyed.withColumn("_within", F.row_number().over(within) - 1)
-    joined = numbered.join(F.broadcast(first), "_bucket")
-    return joined.withColumn(name, F.col("_first") + F.col("_within")).drop(
-        "_digest", "_bucket", "_within", "_first"
-    ), total
+    first = df.sparkSession.createDataFrame(starts, "bucket int, first long")
+    within = Window.partitionBy("bucket").orderBy("digest", *[f"row.`{column}`" for column in key])
+    numbered = keyed.withColumn("within", F.row_number().over(within) - 1).join(F.broadcast(first), "bucket")
+    return numbered.select("row", (F.col("first") + F.col("within")).alias(name)), total

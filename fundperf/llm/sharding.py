@@ -67,7 +67,8 @@ def shuffle_shards(
     """``df`` with row_number, shard and slot.
 
     ``key`` orders the rows and should tell them apart; rows that agree in it get neighbouring numbers in
-    any order. Nulls in key columns are values like others; an empty table gives an empty result.
+    any order. Nulls in key columns are values like others; an empty table gives an empty result. Columns
+    of ``df`` named row_number, shard or slot give way to the new ones, but may be part of the key; others keep any name.
     """
     numbered, n = with_row_number(df, key, "row_number")
     schema = StructType(
@@ -81,7 +82,8 @@ def shuffle_shards(
                 "slot", pa.array(slot, pa.int64())
             )
 
-    return numbered.mapInArrow(place, schema)
+    kept = [F.col(f"row.`{c}`").alias(c) for c in df.columns if c not in ("row_number", "shard", "slot")]
+    return numbered.mapInArrow(place, schema).select(*kept, "row_number", "shard", "slot")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
