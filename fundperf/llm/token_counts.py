@@ -64,21 +64,63 @@ def pretoken_tables() -> tuple[np.ndarray, np.ndarray]:
     return step, out
 
 
+class Library:
+    """What the tokenizer's own library says of a character.
+
+    Its Unicode tables decide, not this Python's, which may be older or differ from worker to worker.
+    """
+
+    def __init__(self, vocabulary: str):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(vocabulary)
+        self.normal = tokenizer.normalizer.normalize_str
+        self.cut = tokenizer.pre_tokenizer.pre_tokenize_str
+
+    def kind(self, char: str) -> int:
+        """Space, letter, digit or other, by how text around the character is cut."""
+        pieces = len(self.cut(f"a{char}{char}a"))
+        # Spaces go, letters join, digits stand alone, others join each other.
+        return {1: LETTER, 3: OTHER, 4: DIGIT}.get(pieces, SPACE)
+
+    def differs(self, char: str) -> bool:
+        """Whether this Python lower-cases or composes the character otherwise, or doesn't know it."""
+        return char not in WHITE and (unicodedata.category(char) == "Cn" or plain_normal(char) != self.normal(char))
+
+
+def plain_normal(text: str) -> str:
+    """Composed and lower case; a capital sigma has one lower case here, whatever follows."""
+    if text.isascii():
+        return text.lower()
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
 class Classes:
-    """Class of every code point, filled in as met."""
+    """Class of every code point, and whether Python knows it otherwise, filled in as met."""
 
-    def __init__(self):
+    def __init__(self, library: Library):
+        self.library = library
         self.known = np.full(0x110000, UNKNOWN, np.uint8)
+        self.odd = np.full(0x110000, UNKNOWN, np.uint8)
 
-    @staticmethod
-    def kind(char: str) -> int:
+    def kind(self, char: str) -> int:
         if char in WHITE:
             return SPACE
         if char in "stmd":
             return SINGLE
         if char in "'rvle":
             return {"'": QUOTE, "r": R, "v": V, "l": L, "e": E}[char]
-        return {"L": LETTER, "N": DIGIT}.get(unicodedata.category(char)[0], OTHER)
+        return self.library.kind(char)
+
+    def is_odd(self, text: str) -> bool:
+        """Whether the library must lower-case a text itself."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        found = self.odd[codes]
+        if (found == UNKNOWN).any():
+            for code in np.unique(codes[found == UNKNOWN]).tolist():
+                self.odd[code] = code > 0x7F and self.library.differs(chr(code))
+            found = self.odd[codes]
+        return bool(found.any())
 
     def of(self, codes: np.ndarray) -> np.ndarray:
         kinds = self.known[codes]
@@ -266,7 +308,8 @@ class TokenCounter:
         with open(vocabulary, encoding="utf-8") as file:
             added = [token["content"] for token in json.load(file)["added_tokens"]]
         self.special = sorted(added, key=len, reverse=True)
-        self.classes, self.tables = Classes(), pretoken_tables()
+        self.library = Library(vocabulary)
+        self.classes, self.tables = Classes(self.library), pretoken_tables()
         self.counts = Counts(CountTransducer(Merges(vocabulary)))
 
     def segments(self, text: str) -> tuple[int, list[str]]:
@@ -277,12 +320,11 @@ class TokenCounter:
                 parts = [piece for part in parts for piece in part.split(token)]
         return len(parts) - 1, parts
 
-    @staticmethod
-    def normal(text: str) -> str:
-        """Composed and lower case; a capital sigma has one lower case here, whatever follows."""
-        if text.isascii():
-            return text.lower()
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    def normal(self, text: str) -> str:
+        """Composed and lower case, as the library has it."""
+        if text.isascii() or not self.classes.is_odd(text):
+            return plain_normal(text)
+        return self.library.normal(text)
 
     def of(self, texts: list[str]) -> np.ndarray:
         totals, pieces, sizes = np.zeros(len(texts), np.int64), [], np.zeros(len(texts), np.int64)
