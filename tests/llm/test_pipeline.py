@@ -99,7 +99,7 @@ def test_the_entry_registers_all(spark):
     names = contract.queries()
     assert set(queries.QUERIES) | {"pipeline"} <= set(names)
     assert set(queries.ORACLES) <= set(contract.oracle_sql())
-    assert {name.split("_")[0] for name in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert [name for name, _ in corpus_pipeline.STAGES][-1] == "packing"
 
 
