@@ -17,6 +17,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--start", default="2024-05-01")
     parser.add_argument("--end", default="2025-05-01")
     parser.add_argument("--jdbc-partitions", type=int, default=16)
+    parser.add_argument("--jdbc-balanced", action="store_true", help="ranges of about as many rows each, by a count by day")
     parser.add_argument("--history-start", help="first day of the tables; asked of the database if not given")
     parser.add_argument("--history-end", help="last day of the tables")
     parser.add_argument("--funds", nargs="+", default=list(REPORT_FUNDS), help="funds with a line of their own")
@@ -30,7 +31,7 @@ def main(argv: list[str] | None = None) -> None:
         tables = parquet_tables(spark, args.tables)
     else:
         history = (args.history_start, args.history_end) if args.history_start else None
-        tables = jdbc_tables(spark, partitions=args.jdbc_partitions, history=history)
+        tables = jdbc_tables(spark, partitions=args.jdbc_partitions, history=history, balanced=args.jdbc_balanced)
     write_annual_report(tables, args.start, args.end, args.out, args.funds, args.rf_fill, args.run)
 
 

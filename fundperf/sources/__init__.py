@@ -2,6 +2,7 @@ from fundperf.sources.demo import demo_tables
 from fundperf.sources.layout import LaidOut, append_laid_out, open_laid_out, write_laid_out
 from fundperf.sources.readers import (
     Tables,
+    equal_ranges,
     jdbc_partitioning,
     jdbc_settings,
     jdbc_tables,
@@ -25,6 +26,7 @@ __all__ = [
     "append_laid_out",
     "conform",
     "demo_tables",
+    "equal_ranges",
     "is_versioned",
     "jdbc_partitioning",
     "jdbc_settings",

@@ -107,21 +107,53 @@ def table_days(
     return row["first"], row["last"]
 
 
+def table_histogram(spark: SparkSession, name: str, connection: Mapping[str, str]) -> list[tuple[date, int]]:
+    """Rows of a table by day, in order of days, asked of the database: a row for each day."""
+    query = f"SELECT caldt, count(*) AS n FROM {name} WHERE caldt IS NOT NULL GROUP BY caldt"
+    rows = spark.read.format("jdbc").options(**connection, query=query).load().collect()
+    return sorted((as_date(row["caldt"]), int(row["n"])) for row in rows)
+
+
+def equal_ranges(histogram: list[tuple[date, int]], partitions: int, column: str = "caldt") -> list[str]:
+    """Conditions that split a table into at most ``partitions`` ranges of days with about as many rows each.
+
+    A day is never split, so a day with more rows than a range's share is a range of its own. Together they hold every
+    row once: days beyond the histogram fall into the outer ranges, rows without a day into the first.
+    """
+    total, seen, cuts = sum(n for _, n in histogram), 0, []
+    for day, n in histogram:
+        # A range ends before the day that would take it further beyond its share than it is short of it.
+        share = total * (len(cuts) + 1) / partitions
+        if seen and len(cuts) + 1 < partitions and seen + n / 2 >= share:
+            cuts.append(day.isoformat())
+        seen += n
+    if not cuts:
+        return ["1 = 1"]
+    inner = [f"{column} >= DATE '{a}' AND {column} < DATE '{b}'" for a, b in zip(cuts, cuts[1:])]
+    return [f"{column} < DATE '{cuts[0]}' OR {column} IS NULL", *inner, f"{column} >= DATE '{cuts[-1]}'"]
+
+
 def jdbc_tables(
     spark: SparkSession,
     settings: Mapping[str, str] | None = None,
     partitions: int | None = None,
     history: tuple[str | date, str | date] | None = None,
     fetchsize: int = 10_000,
+    balanced: bool = False,
 ) -> Tables:
     """All domain tables over JDBC; dated tables are read in ``partitions`` parallel ranges if asked.
 
-    The ranges span ``history``, or the first to the last day of each table, which one row of a query tells.
+    The ranges span ``history``, or the first to the last day of each table, which one row of a query tells. If
+    ``balanced``, they hold about as many rows each instead, by a count of each table's rows by day.
     """
     connection = jdbc_settings(settings) | {"fetchsize": str(fetchsize)}
 
     def build(name: str) -> DataFrame:
         ranges = {}
+        if partitions and balanced and "caldt" in SCHEMAS[name].names:
+            properties = {key: value for key, value in connection.items() if key != "url"}
+            conditions = equal_ranges(table_histogram(spark, name, connection), partitions)
+            return conform(spark.read.jdbc(connection["url"], name, predicates=conditions, properties=properties), name)
         if partitions and "caldt" in SCHEMAS[name].names:
             first, last = history or table_days(spark, name, connection)
             if first is not None:

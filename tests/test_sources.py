@@ -13,6 +13,7 @@ from fundperf.sources import (
     SCHEMAS,
     conform,
     demo_tables,
+    equal_ranges,
     jdbc_partitioning,
     jdbc_settings,
     jdbc_tables,
@@ -115,6 +116,46 @@ def test_a_report_can_run_beside_the_remains_of_another(spark, tmp_path):
     assert sorted(r["Fund"] for r in overall.collect()) == ["All", "Grad", "Quant"]
 
 
+def test_ranges_of_equal_counts_hold_every_row_once(spark):
+    import random
+
+    rng = random.Random(51)
+    for partitions in (1, 2, 5, 16):
+        days = sorted(rng.sample(range(400), 120))
+        counts = [(date.fromordinal(730000 + d), 5000 if i == 60 else 1 + i * i // 40) for i, d in enumerate(days)]
+        conditions = equal_ranges(counts, partitions)
+        assert 1 <= len(conditions) <= partitions
+        rows = [(day, n) for day, n in counts] + [(date(1900, 1, 1), 1), (date(2999, 1, 1), 1), (None, 1)]
+        frame = spark.createDataFrame(rows, "caldt date, n long")
+        found = [frame.filter(condition) for condition in conditions]
+        assert sum(f.count() for f in found) == len(rows)
+        sizes = [f.agg({"n": "sum"}).first()[0] for f in found]
+        total, largest = sum(n for _, n in counts), max(n for _, n in counts)
+        assert all(sizes) and max(sizes) <= total / partitions + largest + 3
+    assert equal_ranges([], 8) == equal_ranges([(date(2024, 1, 1), 9)], 8) == ["1 = 1"]
+
+
+def test_balanced_jdbc_reads_use_the_histogram(monkeypatch):
+    asked = {}
+
+    class Reader:
+        def jdbc(self, url, table, predicates, properties):
+            asked[table] = (url, predicates, properties)
+            return table
+
+    class Session:
+        read = Reader()
+
+    monkeypatch.setattr(readers, "table_histogram", lambda spark, name, connection: [(date(2024, 1, d), d) for d in range(1, 9)])
+    monkeypatch.setattr(readers, "conform", lambda df, name: df)
+    monkeypatch.setattr(readers, "load_table", lambda spark, name, **options: ("plain", name))
+    tables = jdbc_tables(Session(), SETTINGS, partitions=3, balanced=True)
+    assert tables["nav"] == "nav" and tables["portfolio"] == ("plain", "portfolio")
+    url, predicates, properties = asked["nav"]
+    assert url == "jdbc:postgresql://host:5432/fund" and len(predicates) == 3
+    assert "url" not in properties and properties["user"] == "me" and properties["fetchsize"] == "10000"
+
+
 def test_jdbc_settings_come_from_the_environment(monkeypatch):
     for name, value in SETTINGS.items():
         monkeypatch.setenv(name, value)
