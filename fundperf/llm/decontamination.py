@@ -3,8 +3,7 @@
 Documents are written once as word numbers (32 hash bits a word). Their passages of SPAN words, as TF-IDF rows
 over DIM hashed words, form a matrix A; a randomised SVD gives its strongest right singular vectors: each task
 multiplies its rows with a sparse random matrix and back (A'A Omega), the small products are summed, and the
-driver factors them (Nystroem). The frequencies count all passages, the space is fitted on about FIT of them, evenly
-spread. A passage's latent vector is its projection, whitened by the singular values.
+driver factors them (Nystroem). Frequencies and space are fitted on all passages. A passage's latent vector is its projection, whitened by the singular values.
 As that is linear, sums over blocks of words give the vector of a window at every STRIDE-th word, of SPAN
 words or of SHORT_SPAN for short items. Windows whose cosine with a window of a benchmark item is high enough
 are candidates, found by way of one coarse vector for neighbouring windows of an item; there the longest common subsequence of the item's words and the passage must cover SHARE of
@@ -42,8 +41,6 @@ COSINE = {SPAN: 0.55, SHORT_SPAN: 0.65}
 #: Windows of an item that begin within so many words have one coarse vector, that of all their words. It is compared first;
 #: a window that falls short of COARSE of what a whole copy would reach there is not compared with the single ones.
 GROUP, COARSE = 12, 0.8
-#: Passages that the latent space is fitted on, about; more are passed over evenly. Everything else covers all passages.
-FIT = 400_000
 #: Windows and coarse vectors multiplied at once, and pairs compared one by one.
 TILE_ROWS, TILE_QUERIES, PAIRS = 4096, 2048, 1 << 15
 SHARE, ANSWER = 0.6, 0.5
@@ -57,8 +54,8 @@ SEED = 20240607
 #: What each byte stands for in a word's hash, and bytes hashed at once.
 BYTES = splitmix(np.arange(1, 257))
 BLOCK_BYTES = 1 << 20
-#: Rows of the matrix summed as one piece, and words worked on at once.
-PIECE, WORDS = 256, 100_000
+#: Rows of the matrix summed as one piece, and words worked on at once; fitting takes more, for fewer sums per feature.
+PIECE, WORDS, FIT_WORDS = 256, 100_000, 400_000
 
 
 def folded(text: bytes) -> bytes:
@@ -116,8 +113,8 @@ def codes_of(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(value, np.uint32) for value in batch["codes"].to_pylist()]
 
 
-def passages(documents: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Features of consecutive documents and the passage of each word, about WORDS words at a time."""
+def passages(documents: list[np.ndarray], words: int = WORDS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Features of consecutive documents and the passage of each word, about ``words`` words at a time."""
     features, places, size, passage = [], [], 0, 0
     for codes in documents:
         for low in range(0, len(codes), WORDS // SPAN * SPAN):
@@ -126,7 +123,7 @@ def passages(documents: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarr
             places.append(passage + np.arange(len(own)) // SPAN)
             passage = int(places[-1][-1]) + 1
             size += len(own)
-            if size >= WORDS:
+            if size >= words:
                 yield np.concatenate(features), np.concatenate(places)
                 features, places, size, passage = [], [], 0, 0
     if features:
@@ -161,8 +158,8 @@ def summed(docs: DataFrame, rows: int, width: int, local) -> np.ndarray:
     return out
 
 
-def inverse_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Inverse document frequency of every feature over all passages, above zero for words of every passage, too; their number."""
+def inverse_frequencies(docs: DataFrame) -> np.ndarray:
+    """Inverse document frequency of every feature over all passages, above zero for words of every passage, too."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
         total = None
@@ -177,7 +174,7 @@ def inverse_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         return total
 
     counts = summed(docs, DIM + 1, 1, local)[:, 0]
-    return np.log((counts[DIM] + 2) / (counts[:DIM] + 1)), int(counts[DIM])
+    return np.log((counts[DIM] + 2) / (counts[:DIM] + 1))
 
 
 def random_matrix() -> tuple[np.ndarray, np.ndarray]:
@@ -187,30 +184,26 @@ def random_matrix() -> tuple[np.ndarray, np.ndarray]:
     return columns, random.choice([-1.0, 1.0], (DIM, ENTRIES))
 
 
-def latent_vectors(docs: DataFrame, idf: np.ndarray, count: int) -> np.ndarray:
-    """One vector for each feature: a passage's latent vector is the sum over its words.
-
-    Fitted on every k-th of ``count`` passages, so that about FIT of them are multiplied.
-    """
-    width, step = RANK + OVERSAMPLE, max(1, -(-count // FIT))
+def latent_vectors(docs: DataFrame, idf: np.ndarray) -> np.ndarray:
+    """One vector for each feature, fitted on all passages: a passage's latent vector is the sum over its words."""
+    width = RANK + OVERSAMPLE
 
     def local(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
         total = None
         columns, signs = random_matrix()
         weighted = signs * idf[:, None]
         for part in text_slices(batches, "codes"):
-            for own, passage in passages(codes_of(part)):
+            for own, passage in passages(codes_of(part), FIT_WORDS):
                 total = np.zeros((DIM, width)) if total is None else total
-                if step > 1:
-                    chosen = passage % step == 0
-                    own, passage = own[chosen], passage[chosen] // step
                 cells = passage[:, None] * width + columns[own]
                 rows = np.bincount(cells.ravel(), weighted[own].ravel(), (passage[-1] + 1) * width)
                 rows = rows.reshape(-1, width).astype(np.float32)
                 order = np.argsort(own, kind="stable")
-                feature = own[order].astype(np.int64)
+                feature, at = own[order].astype(np.int64), passage[order]
                 first = np.flatnonzero(np.diff(feature, prepend=-1))
-                total[feature[first]] += np.add.reduceat(rows[passage[order]], first)
+                # One feature at a time: its rows stay in the cache, where a sum over all at once copies them.
+                for k, low, high in zip(feature[first].tolist(), first.tolist(), [*first[1:].tolist(), len(own)]):
+                    total[k] += rows[at[low:high]].sum(axis=0)
         return None if total is None else total * idf[:, None]
 
     product = summed(docs, DIM, width, local)
@@ -523,8 +516,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     known = benchmark.filter("text IS NOT NULL").select(F.col("item_id").cast("long"), "text")
     rows_ = cut(coded(docs))
-    idf, count = inverse_frequencies(rows_)
-    vectors = latent_vectors(rows_, idf, count)
+    idf = inverse_frequencies(rows_)
+    vectors = latent_vectors(rows_, idf)
     blocks = max(1, -(-known.count() // BLOCK))
     kind = "doc_id long, version binary, item_id long, share double, answer_share double, cosine double, first_word long"
     schema = arrow_schema(kind)

@@ -220,6 +220,34 @@ def test_words_of_every_passage_count(spark):
     assert [(r["share"], round(r["cosine"], 3)) for r in got] == [(1.0, 1.0)] * 2
 
 
+def test_the_latent_space_is_fitted_on_all_passages(spark, monkeypatch):
+    """The product that is factored is A'A Omega of every passage, whatever number of passages was once enough."""
+    monkeypatch.setattr(decontamination, "FIT", 2, raising=False)
+    monkeypatch.setattr(decontamination, "FIT_WORDS", 100, raising=False)
+    texts = [prose(9000 + d, 30 + 17 * d).encode() for d in range(12)]
+    rows = [(codes.tobytes(),) for codes in decontamination.numbers(texts)]
+    products, summed = [], decontamination.summed
+
+    def kept(*given):
+        products.append(summed(*given))
+        return products[-1]
+
+    monkeypatch.setattr(decontamination, "summed", kept)
+    docs = [(d, text.decode()) for d, text in enumerate(texts)]
+    bench = spark.createDataFrame([(1, docs[0][1])], "item_id long, text string")
+    decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench)
+    passages = [np.frombuffer(r[0], np.uint32)[a : a + 24] % decontamination.DIM for r in rows for a in range(0, len(r[0]) // 4, 24)]
+    matrix = np.zeros((len(passages), decontamination.DIM))
+    for row, own in zip(matrix, passages):
+        np.add.at(row, own, 1)
+    idf = np.log((len(passages) + 2) / ((matrix > 0).sum(axis=0) + 1))
+    omega = np.zeros((decontamination.DIM, decontamination.RANK + decontamination.OVERSAMPLE))
+    np.put_along_axis(omega, *decontamination.random_matrix(), axis=1)
+    weighted = matrix * idf
+    expected = weighted.T @ (weighted @ omega)
+    assert np.abs(products[1] - expected).max() < 1e-4 * np.abs(expected).max()
+
+
 def test_an_answer_is_asked_for_only_where_an_item_marks_one():
     words = [f"word{i}" for i in range(30)]
     marked = [*words[:20], "answer", *words[20:]]
