@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 T = TypeVar("T")
 
 #: Text handled at once inside a task; a longer single text is one slice by itself.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,8 +50,8 @@ def version_of() -> Column:
     return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches again, in slices of at most SLICE_BYTES of text (or one row)."""
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches again, in slices of at most ``limit`` bytes of text (or one row)."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -60,7 +60,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iter
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+            stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
 

@@ -25,8 +25,10 @@ from .common import arrow_schema, kept_in_worker, table, text_slices
 LIMIT = 2048
 #: Characters of a chunk of the prefix scan.
 CHUNK = 256
-#: States and pre-tokens a worker remembers; beyond, they are compiled anew.
-STATES, REMEMBERED = 120_000, 400_000
+#: States, pre-tokens and pairs of tokens a worker remembers; beyond, they are worked out anew.
+STATES, REMEMBERED, PAIRS = 120_000, 400_000, 150_000
+#: Text cut at once; what is kept for each of its characters takes some 25 times as much.
+SLICE = 1 << 20
 
 # Character classes.
 OTHER, SPACE, LETTER, DIGIT, QUOTE, SINGLE, R, V, L, E, UNKNOWN = range(11)
@@ -174,10 +176,11 @@ class Merges:
         self.end = model["end_of_word_suffix"]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.ranks = {tuple(pair): i for i, pair in enumerate(pairs)}
-        self.tokens = set(model["vocab"])
+        #: Every token and prefix by itself, so that what is remembered shares one string.
+        self.tokens = {token: token for token in model["vocab"]}
         bare = {t.removesuffix(self.end) for t in self.tokens}
         self.longest = max(map(len, bare))
-        self.prefixes = {t[:i] for t in bare for i in range(1, len(t) + 1)}
+        self.prefixes = {t[:i]: t[:i] for t in bare for i in range(1, len(t) + 1)}
         self.agree: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
 
@@ -202,7 +205,7 @@ class Merges:
             return False
         found = self.whole.get(token)
         if found is None:
-            found = self.whole[token] = self.encode(self.symbols(token)) == [token]
+            found = self.whole[self.tokens[token]] = self.encode(self.symbols(token)) == [token]
         return found
 
     def beside(self, left: str, right: str) -> bool:
@@ -210,10 +213,16 @@ class Merges:
         key = (left, right)
         found = self.agree.get(key)
         if found is None:
-            found = self.agree[key] = self.encode(self.symbols(left) + self.symbols(right)) == [left, right]
+            if len(self.agree) >= PAIRS:
+                self.agree.clear()
+            found = self.agree[left, self.tokens.get(right, right)] = self.encode(self.symbols(left) + self.symbols(right)) == [left, right]
         return found
 
 
+#: The transitions of a state that has none yet.
+NONE: dict = {}
+
+
 class CountTransducer:
     """Counts the tokens of a pre-token, byte by byte.
 
@@ -233,8 +242,9 @@ class CountTransducer:
         start = ("", ((0, None, 0),))
         self.numbers = {start: 0}
         self.states = [start]
-        self.inner: list[dict[str, tuple[int, int]]] = [{}]
-        self.last: list[dict[str, int]] = [{}]
+        #: States without transitions share one empty dictionary.
+        self.inner: list[dict[str, tuple[int, int]]] = [NONE]
+        self.last: list[dict[str, int]] = [NONE]
 
     def reached(self, state: int, char: str, suffix: str) -> tuple[str, int]:
         """Last token and added count when ``char`` (with ``suffix``) is read."""
@@ -244,7 +254,7 @@ class CountTransducer:
         for cut, token, count in cuts:
             grown = text[cut:]
             if stands(grown) and (token is None or beside(token, grown)):
-                return grown, count + 1
+                return self.merges.tokens[grown], count + 1
         raise ValueError(f"no token ends at {text!r}")
 
     def compile(self, state: int, char: str) -> tuple[int, int]:
@@ -254,14 +264,17 @@ class CountTransducer:
         prefixes = self.merges.prefixes
         open_ = [(cut, last, count - added) for cut, last, count in cuts if text[cut:] in prefixes]
         first = open_[0][0] if open_ else len(text)
-        key = (text[first:], (*((cut - first, last, count) for cut, last, count in open_), (len(text) - first, token, 0)))
+        tail = prefixes.get(text[first:], "")
+        key = (tail, (*((cut - first, last, count) for cut, last, count in open_), (len(text) - first, token, 0)))
         number = self.numbers.get(key)
         if number is None:
             number = self.numbers[key] = len(self.states)
             self.states.append(key)
-            self.inner.append({})
-            self.last.append({})
-        found = self.inner[state][char] = (number, added)
+            self.inner.append(NONE)
+            self.last.append(NONE)
+        found = (number, added)
+        self.inner[state] = self.inner[state] or {}
+        self.inner[state][char] = found
         return found
 
     def count(self, word: str) -> int:
@@ -274,7 +287,9 @@ class CountTransducer:
             total += added
         added = last[state].get(word[-1])
         if added is None:
-            added = last[state][word[-1]] = self.reached(state, word[-1], self.merges.end)[1]
+            added = self.reached(state, word[-1], self.merges.end)[1]
+            last[state] = last[state] or {}
+            last[state][word[-1]] = added
         return total + added
 
 
@@ -354,7 +369,7 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = kept_in_worker(("token counter", vocabulary), lambda: TokenCounter(vocabulary))
-        for part in text_slices(batches):
+        for part in text_slices(batches, limit=SLICE):
             sizes = pa.compute.fill_null(pa.compute.binary_length(part["text"]), 0).cast(pa.int64())
             counts = counter.of([text or "" for text in part["text"].to_pylist()])
             yield pa.record_batch([part["doc_id"].cast(pa.int64()), sizes, pa.array(counts)], schema=schema)

@@ -357,6 +357,19 @@ def test_prefix_scan_gives_the_sequential_states():
     assert token_counts.scan_states(kinds, step).tolist() == expected
 
 
+def test_what_a_worker_remembers_of_pairs_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_counts, "PAIRS", 40, raising=False)
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    counter = token_counts.TokenCounter(vocabulary)
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary)
+    texts = [prose(400 + i, 60) + f" antidisestablishmentarianism{i} naïveté" for i in range(20)]
+    expected = [len(library.encode(text, add_special_tokens=False).ids) for text in texts]
+    assert counter.of(texts).tolist() == expected
+    assert len(counter.counts.transducer.merges.agree) <= 40
+
+
 # 4 substring dedup ----------------------------------------------------------------------------------------
 
 
