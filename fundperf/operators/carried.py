@@ -52,6 +52,13 @@ def action_state(dividends: DataFrame) -> DataFrame:
     )
 
 
+def actions_paid(state: DataFrame, dividends: DataFrame) -> DataFrame:
+    """The part of the action state that ``dividends`` have rows of; null keys are keys like any other, as in the sums."""
+    paid = dividends.select(*[F.col(name).alias(f"_{name}") for name in ACTION_KEY]).distinct()
+    same = [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in ACTION_KEY]
+    return state.join(paid, same, "left_semi")
+
+
 def merged_actions(state: DataFrame, dividends: DataFrame) -> DataFrame:
     """The action state with more dividend rows, of whatever days."""
     return (

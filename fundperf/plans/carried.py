@@ -20,6 +20,7 @@ from fundperf.functions.bounds import as_date, in_window
 from fundperf.operators.carried import (
     action_state,
     actions_of,
+    actions_paid,
     lag_from_state,
     last_state,
     merged_actions,
@@ -73,12 +74,12 @@ def holding_state(tables: TablesLike, as_of: str | date) -> HoldingState:
     return HoldingState(last_state(merged), action_state(past), day)
 
 
-def _new_rows(tables: TablesLike, state: HoldingState, until: date) -> tuple[DataFrame, DataFrame]:
-    """Merged rows of the days after the state up to ``until``, and the action state with their dividends."""
-    actions = merged_actions(state.actions, _between(tables["dividends"], state.as_of, until))
-    # Only an action that starts in the new days meets a row of theirs.
-    starting = _between(actions_of(actions), state.as_of, until)
-    return _merged(tables, starting, lambda df: _between(df, state.as_of, until)), actions
+def _new_rows(tables: TablesLike, state: HoldingState, until: date) -> DataFrame:
+    """Merged rows of the days after the state up to ``until``."""
+    paid = _between(tables["dividends"], state.as_of, until)
+    # Only an action that starts in the new days meets a row of theirs, so of the state only the actions paid then count.
+    starting = _between(actions_of(merged_actions(actions_paid(state.actions, paid), paid)), state.as_of, until)
+    return _merged(tables, starting, lambda df: _between(df, state.as_of, until))
 
 
 def advanced(tables: TablesLike, state: HoldingState, until: str | date) -> HoldingState:
@@ -86,7 +87,8 @@ def advanced(tables: TablesLike, state: HoldingState, until: str | date) -> Hold
     day = as_date(until)
     if day <= state.as_of:
         raise ValueError(f"the state stands for all days up to {state.as_of} already")
-    rows, actions = _new_rows(tables, state, day)
+    rows = _new_rows(tables, state, day)
+    actions = merged_actions(state.actions, _between(tables["dividends"], state.as_of, day))
     return HoldingState(merged_state(state.holdings, rows), actions, day)
 
 
@@ -110,10 +112,16 @@ def corrected(
     concerned = (late[0] if len(late) == 1 else late[0].unionByName(late[1])).distinct()
     keys = list(HOLDING_KEY)
 
+    def of_concerned(df: DataFrame) -> DataFrame:
+        return df.join(concerned, keys, "left_semi")
+
     def past(df: DataFrame) -> DataFrame:
-        return _up_to(df, state.as_of).join(concerned, keys, "left_semi")
+        return of_concerned(_up_to(df, state.as_of))
 
-    again = last_state(_merged(tables, past(actions_of(actions)), past))
+    # Only the concerned holdings' actions are summed for them.
+    own = of_concerned(state.actions)
+    own = own if dividends is None else merged_actions(own, past(dividends))
+    again = last_state(_merged(tables, _up_to(actions_of(own), state.as_of), past))
     untouched = state.holdings.join(concerned, keys, "left_anti")
     return HoldingState(untouched.unionByName(again), actions, state.as_of)
 
@@ -139,6 +147,6 @@ def holding_returns_from(
     known = HoldingState(
         for_funds(state.holdings, funds).filter(reported), for_funds(state.actions, funds).filter(reported), state.as_of
     )
-    rows, _ = _new_rows(scoped, known, as_date(end))
+    rows = _new_rows(scoped, known, as_date(end))
     lagged = position_state(lag_from_state(known.holdings, rows))
     return returns_frame(tables, lagged, first, end, funds, rf_fill).select(*HOLDING_SERIES)

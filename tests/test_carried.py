@@ -102,3 +102,20 @@ def test_a_run_from_a_state_reads_new_days_only(spark, tmp_path):
     for name in ("positions", "trades", "dividends"):
         scans = [line for line in plan.splitlines() if "FileScan" in line and f"/{name}]" in line]
         assert scans and all("GreaterThanOrEqual(caldt,2024-01-14)" in line for line in scans), name
+
+
+def test_a_run_sums_the_actions_of_its_own_rows_only(spark, tmp_path):
+    """The stored actions meet the new dividends, and for a correction its holdings, before they are summed."""
+    rows = random_tables(11)
+    # Keys that are null are keys of their own: an action without a number goes on after the state.
+    rows["dividends"] += [(day("2024-01-12"), "grad", "A", None, 0.5, 2.0), (day("2024-01-15"), "grad", "A", None, 1.5, 4.0)]
+    tables = make_tables(spark, **rows)
+    late = F.expr("caldt <= DATE'2024-01-13' AND caldt > DATE'2024-01-08' AND fund = 'grad'")
+    dated = ("positions", "trades", "dividends")
+    early = {name: tables[name].filter(~late) if name in dated else tables[name] for name in tables}
+    state = carried.holding_state(early, AS_OF).save(str(tmp_path))
+    fixed = carried.corrected(tables, state, *[tables[name].filter(late) for name in dated])
+    df = carried.holding_returns_from(tables, fixed, END)
+    assert first_difference(spark_rows(df)[1], whole(tables, AS_OF + timedelta(days=1), END)) is None
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "<=> _action_id#" in plan
