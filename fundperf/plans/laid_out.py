@@ -21,11 +21,15 @@ from fundperf.operators.snapshots import for_funds
 from fundperf.plans.holdings import HOLDING_SERIES, returns_frame
 from fundperf.plans.performance import holdings_statistics
 from fundperf.plans.returns import TablesLike
-from fundperf.sources.layout import PERIOD, LaidOut, append_laid_out, write_laid_out
+from fundperf.sources.layout import PERIOD, LaidOut, append_laid_out, enough_buckets, write_laid_out
 
 
 def store_merged_days(tables: TablesLike, path: str, buckets: int, period: str = "month") -> LaidOut:
-    """The merged rows of all days, one per day, holding and dividend action."""
+    """The merged rows of all days, one per day, holding and dividend action.
+
+    In ``buckets`` buckets, or more if positions and trades are many; counting them reads no column.
+    """
+    buckets = enough_buckets(buckets, tables["positions"].count() + tables["trades"].count())
     merged = position_trade_merge(tables["positions"], tables["trades"], dividends_by_action(tables["dividends"]))
     return write_laid_out(merged, path, buckets, order=("caldt", "action_id"), period=period)
 
@@ -39,7 +43,7 @@ def append_merged_days(tables: TablesLike, path: str, after: str | date, until:
 
 
 def store_positions(tables: TablesLike, path: str, files: int, period: str = "month") -> LaidOut:
-    """The positions as booked, by period, in ``files`` files each; a holding may be booked any number of times."""
+    """The positions as booked, by period, in ``files`` files each or more; a holding may be booked any number of times."""
     return write_laid_out(tables["positions"], path, files, (), ("fund", "caldt"), period)
 
 

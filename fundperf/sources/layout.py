@@ -22,7 +22,9 @@ from fundperf.constants import HOLDING_KEY
 from fundperf.sources.storage import Exists, Folder, stored
 
 DESCRIPTION = "_layout.json"
-PERIOD = "period"
+PERIOD, SHARE = "period", "_share"
+#: Rows of a bucket, about, beyond which a table gets more buckets: what one task sorts, writes and reads back.
+BUCKET_ROWS = 1_000_000
 #: What a folder holds, as the format of its day in Spark and in Python.
 PERIODS = {"month": ("yyyy-MM", "%Y-%m"), "year": ("yyyy", "%Y")}
 
@@ -51,6 +53,11 @@ def _table_name(path: str) -> str:
     return f"layout_{hashlib.md5(path.encode()).hexdigest()}"
 
 
+def enough_buckets(buckets: int, rows: int) -> int:
+    """At least ``buckets``, and so many that a bucket of about ``rows`` rows in all has no more than BUCKET_ROWS."""
+    return max(buckets, -(-rows // BUCKET_ROWS))
+
+
 def write_laid_out(
     rows: DataFrame,
     path: str,
@@ -62,7 +69,8 @@ def write_laid_out(
     """A new laid-out table below ``path``; a task writes one bucket, a file for each of its periods.
 
     Rows of one key are one bucket, so a hot key must have been aggregated to a bounded number of rows, such as one per
-    day and dividend action. Without ``by`` there are no buckets: each period's rows are dealt evenly to as many files.
+    day and dividend action. Without ``by`` there are no buckets: each period's rows are dealt evenly to as many files,
+    or to more where a file would pass Spark's advisory size of a partition, so no task holds a whole period.
     """
     spark, root = rows.sparkSession, path.rstrip("/")
     if period not in PERIODS:
@@ -121,5 +129,6 @@ def _save(rows: DataFrame, root: str, described: dict, mode: str) -> None:
         writer = dealt.write.partitionBy(PERIOD).bucketBy(buckets, *by).sortBy(*order)
     else:
         share = F.pmod(F.xxhash64(*rows.columns), F.lit(buckets))
-        writer = dated.repartition(PERIOD, share).sortWithinPartitions(PERIOD, *described["order"]).write.partitionBy(PERIOD)
+        dealt = dated.withColumn(SHARE, share).hint("rebalance", PERIOD, SHARE).drop(SHARE)
+        writer = dealt.sortWithinPartitions(PERIOD, *described["order"]).write.partitionBy(PERIOD)
     writer.mode(mode).option("path", f"{root}/rows").saveAsTable(_table_name(root))

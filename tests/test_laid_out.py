@@ -95,3 +95,29 @@ def test_a_layout_is_not_written_twice(spark, tmp_path):
     with pytest.raises(ValueError, match="unknown period"):
         write_laid_out(rows, str(tmp_path / "u"), 2, period="week")
     assert rows_of(open_laid_out(spark, str(tmp_path / "t")).rows.select("ticker", "period")) == [("A", "2024-01")]
+
+
+def test_a_period_is_written_by_as_many_tasks_as_its_rows_ask_for(spark, tmp_path):
+    """One file per period was one task that sorted all rows of a year."""
+    days = [f"2024-01-{1 + i % 28:02d}" for i in range(6000)]
+    booked = [(d, "grad", f"T{i}", "EQ", 1.0 + i, 2.0 * i, 1.0) for i, d in enumerate(days)]
+    tables = make_tables(spark, positions=booked)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20k")
+    try:
+        written = laid_out.store_positions(tables, str(tmp_path / "many"), 1, "year")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(written.rows.inputFiles()) > 1
+    assert rows_of(written.rows.drop("period")) == rows_of(tables["positions"])
+    few = laid_out.store_positions(tables, str(tmp_path / "few"), 1, "year")
+    assert len(few.rows.inputFiles()) == 1
+
+
+def test_many_rows_get_more_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("fundperf.sources.layout.BUCKET_ROWS", 20, raising=False)
+    tables = make_tables(spark, **random_tables(23))
+    rows = tables["positions"].count() + tables["trades"].count()
+    merged = laid_out.store_merged_days(tables, str(tmp_path / "merged"), 2)
+    assert merged.buckets == -(-rows // 20) > 2
+    got = laid_out.holding_returns_laid_out(tables, merged, START, END)
+    assert first_difference(spark_rows(got)[1], spark_rows(plans.all_holdings_daily_returns(tables, START, END))[1]) is None
